@@ -93,3 +93,56 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         before = now
     labels = edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
     return labels.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def shared_folder(spark: SparkSession) -> str:
+    where = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
+    if not where:
+        where = tempfile.mkdtemp(prefix="mensura-checkpoint-")
+        spark.sparkContext.setCheckpointDir(where)
+    return where
+
+
+class Tables:
+    """Parquet tables in the shared folder, for what is read more than once.  Left as a context, they are deleted."""
+
+    def __init__(self, spark: SparkSession):
+        import uuid
+
+        self.spark, self.base = spark, f"{shared_folder(spark)}/llm-{uuid.uuid4().hex}"
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.base}/{name}"
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __enter__(self) -> Tables:
+        return self
+
+    def __exit__(self, *_) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.base)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def possible(texts: DataFrame, keys: DataFrame, bits: int = 23) -> DataFrame:
+    """The rows of texts (with _id and _th) that may be among keys: a bitmap of 2 ** bits hashes, 1 MB, is broadcast.
+
+    What it lets by too much costs time only; a join follows.  It spares most of a text's way through an exchange.
+    """
+    bit = F.pmod(F.xxhash64("_id", "_th"), F.lit(1 << bits))
+    found = keys.select((bit + 1).alias("b")).groupBy(F.bitmap_bucket_number("b").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("m")).collect()
+    table = np.zeros((1 << bits >> 15, 4096), np.uint8)
+    for r in found:
+        table[r["k"] - 1] = np.frombuffer(bytes(r["m"]), np.uint8)
+    shared = texts.sparkSession.sparkContext.broadcast(table.reshape(-1))
+    names = texts.columns
+
+    def keep(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            at = batch.column(len(names)).to_numpy()
+            on = shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1
+            yield pa.RecordBatch.from_arrays(batch.columns[: len(names)], names).filter(pa.array(on.astype(bool)))
+
+    return texts.withColumn("_bit", bit).mapInArrow(keep, texts.schema)
