@@ -7,12 +7,16 @@ from mensura.llm.language_id import op9_language_id
 from mensura.llm.mixing import op1_mixing
 from mensura.llm.packing import op8_packing
 from mensura.llm.pii import op2_pii
+from mensura.llm.shingle_join import op3_ngram_jaccard_join
+from mensura.llm.substring_dedup import op6_substring_dedup
 from mensura.llm.url_filter import op4_sql, op4_url_filter
 
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_pii": op2_pii,
+    "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_url_filter": op4_url_filter,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_chat_format": op7_chat_format,
     "op8_packing": op8_packing,
     "op9_language_id": op9_language_id,
