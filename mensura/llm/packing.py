@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from mensura.llm.common import tune
 
-GROUP, SLACK = 1024, 0.01
+GROUP, SLACK = 512, 0.01
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
