@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from mensura.llm.ann_search import op10_ann_search
 from mensura.llm.chat_format import OP7_SQL, op7_chat_format
+from mensura.llm.exact_search import OP5_SQL, op5_exact_search
 from mensura.llm.language_id import op9_language_id
 from mensura.llm.mixing import op1_mixing
 from mensura.llm.packing import op8_packing
@@ -16,12 +18,14 @@ QUERIES = {
     "op2_pii": op2_pii,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_url_filter": op4_url_filter,
+    "op5_exact_search": op5_exact_search,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_chat_format": op7_chat_format,
     "op8_packing": op8_packing,
     "op9_language_id": op9_language_id,
+    "op10_ann_search": op10_ann_search,
 }
 
 
 def sql() -> dict[str, str]:
-    return {"op4_url_filter": op4_sql(), "op7_chat_format": OP7_SQL}
+    return {"op4_url_filter": op4_sql(), "op5_exact_search": OP5_SQL, "op7_chat_format": OP7_SQL}
