@@ -1,21 +1,7 @@
-"""Registry of the engine's own queries and of the SQL that each must agree with."""
+"""The engine's own queries and the SQL that each must agree with."""
 
-from __future__ import annotations
+from mensura.plans import domain, scalar, space
+from mensura.plans.registry import QUERIES, SQL
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
 FLAGSHIP = "agg1_layer_takeoff_index"
-
-
-def register(name: str, sql: str | None = None):
-    def add(f):
-        QUERIES[name] = f
-        if sql is not None:
-            SQL[name] = sql
-        return f
-
-    return add
+__all__ = ["FLAGSHIP", "QUERIES", "SQL", "domain", "scalar", "space"]
