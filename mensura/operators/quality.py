@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from mensura.functions.text import contains_any, strip_accents
 
-#: Words of horizontal and vertical surfaces, default wall height.
-FLOOR_WORDS = ["losa", "sobrelosa", "piso", "pavimento", "radier"]
-VERTICAL_WORDS = ["tabique", "muro", "pared", "fachada"]
-HORIZONTAL_WORDS = ["piso", "cielo", "losa", "pavimento", "radier", "techo"]
+#: Words of floors, of vertical and horizontal surfaces, how a height is written, default wall height.
+FLOOR_WORDS = ["piso", "losa", "pavimento", "sobrelosa", "radier", "fundacion", "contrapiso", "alfombra", "cerámico", "ceramica", "porcelanato", "pvc", "vinilico", "floor", "slab"]
+VERTICAL_WORDS = ["tabique", "muro", "sobretabique", "pilar", "columna", "pared", "tabiqueria", "division", "divisorio", "empaste", "estuco", "enlucido", "revoque", "pintura tabique", "pintura muro", "ceramico muro", "azulejo", "enchape", "revestimiento muro", "papel mural", "viga", "pilastra", "contrafuerte"]
+HORIZONTAL_WORDS = ["cielo", "cielo falso", "cielo raso", "plafon", "cupula", "boveda", "cenefa", "piso", "pavimento", "solera", "radier", "ceramica", "porcelanato", "losa", "entrepiso", "cubierta", "techumbre", "impermeabiliza", "membrana", "aislacion"]
+HEIGHTS = [r"h\s*[=:]\s*(\d[\d.,]*)\s*m?", r"altura\s*[=:]\s*(\d[\d.,]*)\s*m?", r"(\d+[.,]\d+)\s*m\s*(?:alto|altura)", r"alto\s*[=:]\s*(\d[\d.,]*)\s*m?"]
 WALL_HEIGHT = 2.4
 
 
@@ -36,11 +37,13 @@ def orientation(description: Column) -> Column:
 
 
 def wall_height(description: Column) -> Column:
-    """A height that the text states (h=2.4, altura 2,4, 2.4 m alto), if it is between 0 and 20."""
-    own = F.replace(F.lower(description), F.lit(","), F.lit("."))
-    stated = F.coalesce(*[F.nullif(F.regexp_extract(own, p, 1), F.lit("")) for p in (r"h\s*[=:]\s*(\d+(?:\.\d+)?)", r"altura\s*(?:de)?\s*(\d+(?:\.\d+)?)", r"(\d+(?:\.\d+)?)\s*m?\s*(?:de\s*)?alto")])
-    h = stated.try_cast("double") if hasattr(stated, "try_cast") else stated.cast("double")
-    return F.when((h > 0) & (h < 20), h)
+    """A height that the text states, if it is between 0 and 20."""
+    own = F.lower(description)
+    out = F.lit(None).cast("double")
+    for p in reversed(HEIGHTS):
+        h = F.nullif(F.regexp_extract(F.replace(F.regexp_extract(own, p, 1), F.lit(","), F.lit(".")), r"^\d+(?:\.\d+)?", 0), F.lit("")).cast("double")
+        out = F.coalesce(F.when((h > 0) & (h < 20), h), out)
+    return out
 
 
 def derived_area(length: Column, description: Column) -> Column:
@@ -60,13 +63,6 @@ def row_status(confidence: Column, type_matches: Column, qty: Column) -> Column:
     return F.when(~type_matches, "pending_type_mismatch").when(qty.isNull(), "pending_no_geometry").when(confidence >= 0.7, "approved").when(confidence >= 0.4, "pending").otherwise("pending_no_match")
 
 
-def evidence_score(match: Column, unit_ok: Column, sane: Column, spatial: Column, text: Column, warnings: Column, failed: Column) -> Column:
-    """Weighted confidence; halved after a failure, a tenth less for each warning, three decimals."""
-    w = lambda b, x: F.when(b, x).otherwise(0.0)
-    base = match * 0.25 + w(unit_ok, 0.20) + w(sane, 0.20) + w(spatial, 0.25) + w(text, 0.10)
-    return F.round(F.greatest(F.lit(0.0), base * F.when(failed, 0.5).otherwise(1.0) * (1 - 0.1 * warnings)), 3)
-
-
 def geometry_prior(area: Column) -> Column:
     return F.least(F.lit(0.2), F.log10(area + 1) * 0.066)
 
@@ -79,25 +75,68 @@ def computed_quantity(unit: Column, area: Column, length: Column, blocks: Column
     )
 
 
-def calc_method(unit: Column, description: Column) -> Column:
-    own = F.lower(F.trim(unit))
-    by_unit = F.when(own.isin("m2", "m²"), "AREA").when(own.isin("ml", "m", "mts"), "LENGTH").when(own.isin("un", "u", "und", "pza"), "COUNT").when(own.isin("gl", "glb", "global"), "GLOBAL")
-    words = F.when(contains_any(F.lower(description), ["tabique", "muro", "piso", "cielo", "pintura"]), "AREA").when(contains_any(F.lower(description), ["cable", "ducto", "tuberia"]), "LENGTH").when(contains_any(F.lower(description), ["puerta", "ventana", "enchufe"]), "COUNT")
-    return F.struct(F.coalesce(by_unit, words, F.lit("GLOBAL")).alias("method"), F.when(by_unit.isNotNull(), 0.99).when(words.isNotNull(), 0.7).otherwise(0.1).alias("confidence"))
-
-
-#: Largest plausible quantity by unit; typical range.
-BOUNDS = {"m2": (100_000.0, 0.1, 10_000.0), "m": (50_000.0, 0.1, 5_000.0), "m3": (100_000.0, 0.01, 10_000.0), "un": (10_000.0, 1.0, 500.0), "gl": (100.0, 1.0, 1.0)}
+#: Units and words that tell how a quantity is computed.
+METHOD_UNITS = {
+    "COUNT": ["un", "u", "und", "unidad", "unidades", "pza", "pieza", "c/u", "num", "nº"],
+    "AREA": ["m2", "m²", "mt2"],
+    "VOLUME": ["m3", "m³", "mt3"],
+    "LENGTH": ["m", "ml", "mts", "metro", "metros", "mt"],
+    "GLOBAL": ["gl", "glb", "global", "est", "est.", "estimado", "pa"],
+}
+METHOD_WORDS = {"COUNT": ["punto", "tablero", "equipo"], "LENGTH": ["tubería", "canalización", "conductor"], "AREA": ["pintura", "piso"]}
 
 
-def bounds_check(qty: Column, unit: Column) -> Column:
-    out = F.lit("ok")
-    for u, (most, low, high) in BOUNDS.items():
-        own = F.when(qty > most, "error").when((qty < low) | (qty > high), "warning").otherwise("ok")
-        if u == "un":
-            own = F.when(qty != F.floor(qty), "error").otherwise(own)
-        out = F.when(unit == u, own).otherwise(out)
-    return F.when(qty.isNull(), "ok").otherwise(out)
+def calc_method(unit: Column, description: Column) -> Column:
+    """struct<method, confidence>: by the unit, else by words, else GLOBAL."""
+    own = F.lower(F.trim(unit))
+    by_unit = by_word = F.lit(None).cast("string")
+    for m, units in reversed(list(METHOD_UNITS.items())):
+        by_unit = F.when(own.isin(units), m).otherwise(by_unit)
+    for m, words in reversed(list(METHOD_WORDS.items())):
+        by_word = F.when(contains_any(F.lower(description), words), m).otherwise(by_word)
+    return F.struct(F.coalesce(by_unit, by_word, F.lit("GLOBAL")).alias("method"), F.when(by_unit.isNotNull(), 0.99).when(by_word.isNotNull(), 0.7).otherwise(0.1).alias("confidence"))
+
+
+#: Fixed values: (typical least, typical most, absolute most) by unit and context; words of the contexts.
+BOUNDS = {
+    "m2": {"floor": (10.0, 200.0, 2000.0), "wall": (5.0, 150.0, 1000.0), "ceiling": (10.0, 150.0, 1000.0), "small": (0.01, 10.0, 50.0)},
+    "ml": {"general": (1.0, 200.0, 1000.0)},
+    "m": {"general": (1.0, 200.0, 1000.0)},
+    "m3": {"general": (0.1, 100.0, 1000.0)},
+    "un": {"general": (1.0, 50.0, 500.0)},
+    "u": {"general": (1.0, 50.0, 500.0)},
+    "und": {"general": (1.0, 50.0, 500.0)},
+    "gl": {"general": (1.0, 1.0, 1.0)},
+}
+WHOLE_UNITS = ["un", "u", "und", "gl"]
+CONTEXTS = {
+    "floor": "losa|sobrelosa|piso|pavimento|floor|slab|radier|contrapiso",
+    "wall": "muro|muros|wall|walls|tabique|sobretabique|partition|mamposteria",
+    "ceiling": "cielo|cielos|ceiling|raso|plafon|volcanita",
+    "small": "puerta|door|ventana|window|fixture|detalle|impermeabilizaci[oó]n",
+}
+
+
+def context(description: Column) -> Column:
+    out = F.lit("general")
+    for name, words in reversed(list(CONTEXTS.items())):
+        out = F.when(F.lower(description).rlike(rf"(?<![a-z0-9_])({words})(?![a-z0-9_])"), name).otherwise(out)
+    return out
+
+
+def bounds_check(qty: Column, unit: Column, description: Column) -> Column:
+    """severity by the bounds of unit and context; a unit without general bounds falls back to its first."""
+    own, where, out = F.lower(F.trim(unit)), context(description), F.lit("ok")
+    for u, by in BOUNDS.items():
+        verdict = F.lit("ok")
+        for name, (low, high, most) in by.items():
+            here = F.when(qty > most, "error").when((qty < low) | (qty > high), "warning").otherwise("ok")
+            verdict = F.when(where == name, here).otherwise(verdict)
+        fallback = by.get("general", next(iter(by.values())))
+        general = F.when(qty > fallback[2], "error").when((qty < fallback[0]) | (qty > fallback[1]), "warning").otherwise("ok")
+        verdict = F.when(where.isin([n for n in by if n != "general"]), verdict).otherwise(general)
+        out = F.when(own == u, F.when((qty != F.floor(qty)) & F.lit(u in WHOLE_UNITS), "error").otherwise(verdict)).otherwise(out)
+    return F.when(qty.isNull() | (qty < 0), "error").otherwise(out)
 
 
 def pricing_mode(unit: Column, description: Column) -> Column:

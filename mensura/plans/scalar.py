@@ -98,8 +98,8 @@ def _(b):
     return b.select("row_index", U.item_type(F.col("description"), F.col("unit")).alias("type"))
 
 
-METHOD = f"""CASE WHEN lower(trim(unit)) IN ('m2', 'm²') THEN 'AREA' WHEN lower(trim(unit)) IN ('ml', 'm', 'mts') THEN 'LENGTH' WHEN lower(trim(unit)) IN ('un', 'u', 'und', 'pza') THEN 'COUNT' WHEN lower(trim(unit)) IN ('gl', 'glb', 'global') THEN 'GLOBAL' END"""
-METHOD2 = f"""CASE WHEN {WORDS('lower(description)', ['tabique', 'muro', 'piso', 'cielo', 'pintura'])} THEN 'AREA' WHEN {WORDS('lower(description)', ['cable', 'ducto', 'tuberia'])} THEN 'LENGTH' WHEN {WORDS('lower(description)', ['puerta', 'ventana', 'enchufe'])} THEN 'COUNT' END"""
+METHOD = "CASE " + " ".join(f"WHEN lower(trim(unit)) IN ({LIST(us)}) THEN '{m}'" for m, us in Q.METHOD_UNITS.items()) + " END"
+METHOD2 = "CASE " + " ".join(f"WHEN {WORDS('lower(description)', ws)} THEN '{m}'" for m, ws in Q.METHOD_WORDS.items()) + " END"
 
 
 @register("unt6_calc_method", f"SELECT row_index, coalesce({METHOD}, {METHOD2}, 'GLOBAL') AS method, CASE WHEN {METHOD} IS NOT NULL THEN 0.99 WHEN {METHOD2} IS NOT NULL THEN 0.7 ELSE 0.1 END::DOUBLE AS confidence FROM bill_items", "bill_items")
@@ -164,19 +164,22 @@ def _(b):
     return _checked(b).select("row_index", Q.row_status((F.col("row_index") % 10) / 10, F.col("kind") != "unknown", F.col("q")).alias("status"))
 
 
-@register("qty18_confidence", f"WITH {CHECKED} SELECT row_index, round(greatest(0.0, ((row_index % 10) / 10 * 0.25 + CASE WHEN kind <> 'unknown' THEN 0.2 ELSE 0 END + CASE WHEN severity = 'ok' THEN 0.2 ELSE 0 END + CASE WHEN row_index % 2 = 0 THEN 0.25 ELSE 0 END + 0.1) * CASE WHEN severity = 'error' THEN 0.5 ELSE 1 END * (1 - 0.1 * CASE WHEN severity = 'warning' THEN 1 ELSE 0 END)), 3) AS confidence FROM s", "bill_items")
-def _(b):
-    s = F.col("severity")
-    c = Q.evidence_score((F.col("row_index") % 10) / 10, F.col("kind") != "unknown", s == "ok", F.col("row_index") % 2 == 0, F.lit(True), (s == "warning").cast("int"), s == "error")
-    return _checked(b).select("row_index", c.alias("confidence"))
+ONE = lambda b: f"CASE WHEN q > {b[2]} THEN 'error' WHEN q < {b[0]} OR q > {b[1]} THEN 'warning' ELSE 'ok' END"
+CONTEXT = "CASE " + " ".join(rf"WHEN regexp_matches(' ' || lower(description) || ' ', '[^a-z0-9_]({w})[^a-z0-9_]') THEN '{n}'" for n, w in Q.CONTEXTS.items()) + " ELSE 'general' END"
+BOUND = "CASE WHEN q IS NULL OR q < 0 THEN 'error' " + " ".join(
+    f"WHEN lower(trim(unit)) = '{u}' THEN " + (f"CASE WHEN q <> floor(q) THEN 'error' ELSE {ONE(by['general'])} END" if u in Q.WHOLE_UNITS else f"CASE ctx {' '.join(f'WHEN {n!r} THEN {ONE(b)}' for n, b in by.items() if n != 'general')} ELSE {ONE(by.get('general', next(iter(by.values()))))} END" if len(by) > 1 else ONE(by["general"]))
+    for u, by in Q.BOUNDS.items()
+) + " ELSE 'ok' END"
 
 
-BOUND = "CASE WHEN q IS NULL THEN 'ok' " + " ".join(f"WHEN n = '{u}' THEN CASE " + ("WHEN q <> floor(q) THEN 'error' " if u == "un" else "") + f"WHEN q > {m} THEN 'error' WHEN q < {lo} OR q > {hi} THEN 'warning' ELSE 'ok' END" for u, (m, lo, hi) in Q.BOUNDS.items()) + " ELSE 'ok' END"
+@register("qty6_context", f"SELECT row_index, {CONTEXT} AS context FROM bill_items", "bill_items")
+def _(b):
+    return b.select("row_index", Q.context(F.col("description")).alias("context"))
 
 
-@register("qty5_bounds", f"WITH {CHECKED}, n AS (SELECT *, {UNIT} AS n FROM s) SELECT row_index, {BOUND} AS severity FROM n", "bill_items")
+@register("qty5_bounds", f"WITH {CHECKED}, n AS (SELECT *, {CONTEXT} AS ctx FROM s) SELECT row_index, {BOUND} AS severity FROM n", "bill_items")
 def _(b):
-    return _checked(b).select("row_index", Q.bounds_check(F.col("q"), U.classify_unit(F.col("unit"))["unit"]).alias("severity"))
+    return _checked(b).select("row_index", Q.bounds_check(F.col("q"), F.col("unit"), F.col("description")).alias("severity"))
 
 
 @register("cat13_pricing_mode", f"SELECT row_index, CASE WHEN lower(unit) IN ('gl', 'glb', 'global') OR {WORDS('strip_accents(lower(description))', ['instalacion', 'servicio', 'mano de obra', 'flete'])} THEN 'service' ELSE 'material' END AS mode FROM bill_items", "bill_items")
