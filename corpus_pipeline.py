@@ -14,8 +14,8 @@ from mensura.llm import language_id, mixing, packing, pii, shingle_join
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose language can be told; what has no letter goes.  lang becomes the prediction where it is null."""
     model = language_id.train(docs.where(~language_id.is_held_out(F.col("doc_id"))))
-    found = language_id.identify(docs, model).where(F.col("lang_pred") != language_id.UND)
-    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    found = language_id.identify(docs.select(F.struct(*docs.columns).alias("row"), "text"), model).where(F.col("lang_pred") != language_id.UND)
+    return found.select(*[F.coalesce("row.lang", "lang_pred").alias(c) if c == "lang" else F.col(f"row.{c}") for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

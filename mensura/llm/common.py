@@ -146,3 +146,9 @@ def possible(texts: DataFrame, keys: DataFrame, bits: int = 23) -> DataFrame:
             yield pa.RecordBatch.from_arrays(batch.columns[: len(names)], names).filter(pa.array(on.astype(bool)))
 
     return texts.withColumn("_bit", bit).mapInArrow(keep, texts.schema)
+
+
+def rows_with_key(docs: DataFrame, *more) -> DataFrame:
+    """_row (the whole row, so that names can't clash), _id, _th and the columns given."""
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id")
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), key, F.xxhash64(F.col("text").cast("string")).alias("_th"), *more)

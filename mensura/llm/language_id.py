@@ -272,11 +272,15 @@ def _predict(batches, blob: bytes):
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs (column text) with lang_pred and score.  The model travels as a broadcast of BUCKETS rows for each language."""
+    """The rows of docs (column text) with lang_pred and score, which take the place of columns so named.
+
+    The model travels as a broadcast of BUCKETS rows for each language.
+    """
     import pickle
 
     from pyspark.sql.types import DoubleType, StringType, StructType
 
+    docs = docs.select(*[F.col(f"`{c}`").cast("string") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")])
     tune(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
     schema = StructType([*docs.schema.fields]).add("lang_pred", StringType()).add("score", DoubleType())

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mensura.llm.common import NO_ID, checkpoint, tune
+from mensura.llm.common import NO_ID, checkpoint, rows_with_key, tune
 
 WEIGHTS, SHARE, MOST, GROUP = (3.0, 1.0, 2.0), 1.5, 2.0, 8192
 
@@ -181,13 +181,12 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs, each as many times as the mix takes it."""
-    keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "_th": F.xxhash64(F.col("text").cast("string")), "_src": F.col("source").cast("string")})
-    taken = copies(docs, **options).groupBy("_id", "_th", "source").agg(F.sum("copies").alias("_all"), F.count("*").alias("_rows"))
-    taken = taken.withColumnRenamed("source", "_own")
-    # Equal rows share what they take: each has the mean, and the first of them the rest.
     from pyspark.sql import Window
 
+    keyed = rows_with_key(docs, F.col("source").cast("string").alias("_src"))
+    taken = copies(docs, **options).groupBy("_id", "_th", "source").agg(F.sum("copies").alias("_all"), F.count("*").alias("_rows")).withColumnRenamed("source", "_own")
+    # Equal rows share what they take: each has the mean, and the first of them the rest.
     n = F.row_number().over(Window.partitionBy("_id", "_th", "_src").orderBy("_id"))
     joined = keyed.withColumn("_k", n).join(taken, ["_id", "_th"]).where(F.col("_src").eqNullSafe(F.col("_own")))
     times = F.floor(F.col("_all") / F.col("_rows")) + (F.col("_k") <= F.col("_all") % F.col("_rows")).cast("long")
-    return joined.withColumn("_t", F.explode(F.array_repeat(F.lit(1), times.cast("int")))).select(*docs.columns)
+    return joined.withColumn("_t", F.explode(F.array_repeat(F.lit(1), times.cast("int")))).select("_row.*")

@@ -23,7 +23,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mensura.llm.common import NO_ID, checkpoint, tune
+from mensura.llm.common import NO_ID, checkpoint, rows_with_key, tune
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, SUPPORT, GENERALISE, DISCLOSURE = 4, 3, 0.6, 0.8
@@ -135,15 +135,11 @@ FOUND = "_id long, _th long, base array<struct<start:long,kind:int,end:long>>, n
 TERMS = "array<struct<start:long,end:long,kind:string>>"
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "_th": F.xxhash64(F.col("text").cast("string"))})
-
-
 def find(docs: DataFrame) -> DataFrame:
     """(_id, _th, rows, base, terms): the spans of each different document, and how many rows have it."""
     tune(docs.sparkSession)
     text = F.col("text").cast("string").alias("text")
-    found = keyed(docs).select("_id", "_th", text).mapInArrow(_find, FOUND)
+    found = rows_with_key(docs, text).select("_id", "_th", "text").mapInArrow(_find, FOUND)
     found = checkpoint(found.groupBy("_id", "_th").agg(F.count("*").alias("rows"), F.first("base").alias("base"), F.first("near").alias("near")))
     seen = found.select("_id", "_th", F.inline("near"))
     contexts = seen.select("entity", "word", "context").distinct()
@@ -166,11 +162,10 @@ def find(docs: DataFrame) -> DataFrame:
 def _replace(batches):
     import pyarrow as pa
 
-    names = [*(f"[{k.upper()}]" for k in KINDS)]
+    names = [f"[{k.upper()}]" for k in KINDS]
     for batch in batches:
-        get = {n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)}
         out = []
-        for text, base, terms in zip(get["text"], get["_base"], get["_terms"], strict=True):
+        for text, base, terms in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
             spans = sorted([(b["start"], b["end"], names[b["kind"]]) for b in base or ()] + [(t["start"], t["end"], "" if t["kind"] == "term" else "[TERM]") for t in terms or ()])
             parts, at = [], 0
             for s, e, mark in spans:
@@ -178,19 +173,18 @@ def _replace(batches):
                     parts += [text[at:s], mark]
                 at = max(at, e)
             out.append("".join([*parts, text[at:]]) if spans else text)
-        columns = [pa.array(out, pa.string()) if n == "text" else batch.column(i) for i, n in enumerate(batch.schema.names) if n not in ("_base", "_terms")]
-        yield pa.RecordBatch.from_arrays(columns, [n for n in batch.schema.names if n not in ("_base", "_terms")])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["_row", "_text"])
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
-    """The rows of docs with sanitised texts: base spans become [EMAIL] and so on, disclosing words go or become [TERM].
-
-    Only documents with a span are joined to them; all others pass by.
-    """
-    spans = find(docs).where("size(base) > 0 or size(terms) > 0").select("_id", "_th", F.col("base").alias("_base"), F.col("terms").alias("_terms"))
-    joined = keyed(docs).withColumn("text", F.col("text").cast("string")).join(spans, ["_id", "_th"], "left").select(*docs.columns, "_base", "_terms")
-    schema = joined.drop("_base", "_terms").schema
-    return joined.mapInArrow(_replace, schema)
+    """The rows of docs with sanitised texts: base spans become [EMAIL] and so on, disclosing words go or become [TERM]."""
+    from pyspark.sql.types import StringType, StructType
+
+    spans = find(docs).where("size(base) > 0 or size(terms) > 0").select("_id", "_th", "base", "terms")
+    joined = rows_with_key(docs, F.col("text").cast("string").alias("_text")).join(spans, ["_id", "_th"], "left").select("_row", "_text", "base", "terms")
+    schema = StructType([joined.schema["_row"]]).add("_text", StringType())
+    done = joined.mapInArrow(_replace, schema)
+    return done.select(*[F.col("_text").alias(c) if c == "text" else F.col(f"_row.`{c}`") for c in docs.columns])
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
