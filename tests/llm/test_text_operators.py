@@ -258,11 +258,12 @@ def test_viterbi_is_best():
 def test_mixed_text_has_spans(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = language_id.train(d)
-    by = {r["lang"]: r["text"] for r in d.where("length(text) > 2000 AND lang IN ('en', 'de')").collect()}
-    en, de = by["en"].split()[:80], by["de"].split()[:80]
+    sure = language_id.identify(d.where("length(text) > 2000"), model).where("score > 0.9999 AND lang = lang_pred")
+    by = {r["lang"]: r["text"] for r in sure.orderBy("doc_id").collect()}
+    en, de = (language_id.WORD.findall(by[k])[:80] for k in ("en", "de"))
     sizes, labels, _ = language_id.Labeller(model).spans([" ".join(en + de)])
-    half = labels[: sizes[0] // 2 - 8], labels[sizes[0] // 2 + 8 :]
-    share = [(np.array([model.langs[k] for k in h]) == lang).mean() for h, lang in zip(half, ("en", "de"))]
+    assert sizes.tolist() == [160]
+    share = [(np.array([model.langs[k] for k in h]) == lang).mean() for h, lang in zip((labels[:80], labels[80:]), ("en", "de"))]
     assert min(share) > 0.85 and np.count_nonzero(np.diff(labels)) < 12
 
 
