@@ -60,7 +60,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray):
     empty = np.zeros(0, np.int64)
     if n < LENGTH:
         return empty, empty, empty.view(np.uint64), empty.view(np.uint64), empty, empty
-    up, down = _powers(1 << max(n.bit_length(), 21))
+    up, down = _powers(1 << max(n.bit_length(), 20))
     total = np.empty(n + 1, np.uint64)
     total[0] = 0
     np.cumsum(_VALUES[data] * up[:n], out=total[1:])
@@ -127,9 +127,12 @@ def _map(batches, buckets: int):
 
     for batch in batches:
         ids, ths = (np.array(batch.column(i).to_pylist(), np.int64) for i in (0, 1))
+        if len(once := np.unique(np.stack([ids, ths]), axis=1, return_index=True)[1]) < len(ids):  # a row that repeats is one document
+            batch = batch.take(pa.array(np.sort(once)))
+            ids, ths = ids[np.sort(once)], ths[np.sort(once)]
         data, offsets = text_buffers(batch.column(2))
         rows = []
-        for i, j in chunks(offsets, 2 << 20):
+        for i, j in chunks(offsets, 1 << 20):
             text, place, h, around, left, right = anchors(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             text = text + i
             order = np.lexsort((place, ths[text], ids[text], around, h))
@@ -170,6 +173,9 @@ def _meet(table, buckets: int):
     ids, ths, h, around, place, sides = _opened(cols, [i for i, k in enumerate(cols["kind"]) if k == 0], (np.uint64, np.uint64, np.int32, np.uint16))
     del cols
     order = np.lexsort((place, ths, ids, around, h))
+    if len(order):  # the same place twice comes from a row that repeats
+        x = np.stack([h.view(np.int64), around.view(np.int64), ids, ths, place.astype(np.int64)])[:, order]
+        order = order[np.append(True, (x[:, 1:] != x[:, :-1]).any(axis=0))]
     h, around, ids, ths, place, sides = h[order], around[order], ids[order], ths[order], place[order].astype(np.int64), sides[order].astype(np.int64)
     same_h = np.zeros(len(h), bool)
     same_h[1:] = h[1:] == h[:-1]
@@ -345,7 +351,7 @@ def repeated_spans(docs: DataFrame, table: Tables) -> DataFrame:
     tune(docs.sparkSession)
     texts = keyed(docs)
     volume = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(8, int(volume * 3e-8))
+    buckets = max(4, int(volume * 5e-8))
     parts = texts.mapInArrow(lambda it: _map(it, buckets), FIELDS)
     # Spans that a batch has found go with the anchors of the part of their document's number, and pass through.
     met = parts.groupBy("bucket").applyInArrow(lambda t: _meet(t, buckets), FIELDS)
