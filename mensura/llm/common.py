@@ -124,10 +124,11 @@ class Tables:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def possible(texts: DataFrame, keys: DataFrame, bits: int = 23) -> DataFrame:
-    """The rows of texts (with _id and _th) that may be among keys: a bitmap of 2 ** bits hashes, 1 MB, is broadcast.
+def split(texts: DataFrame, keys: DataFrame, bits: int = 23) -> tuple[DataFrame, DataFrame]:
+    """The rows of texts (with _id and _th) that may be among keys, and those that surely aren't.
 
-    What it lets by too much costs time only; a join follows.  It spares most of a text's way through an exchange.
+    A bitmap of 2 ** bits hashes, 1 MB, is broadcast.  Rows that it lets by too much cost time only, as a join follows; it
+    spares the others the way through an exchange.
     """
     bit = F.pmod(F.xxhash64("_id", "_th"), F.lit(1 << bits))
     found = keys.select((bit + 1).alias("b")).groupBy(F.bitmap_bucket_number("b").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("m")).collect()
@@ -137,15 +138,22 @@ def possible(texts: DataFrame, keys: DataFrame, bits: int = 23) -> DataFrame:
     shared = texts.sparkSession.sparkContext.broadcast(table.reshape(-1))
     names = texts.columns
 
-    def keep(batches):
-        import pyarrow as pa
+    def keep(wanted):
+        def rows(batches):
+            import pyarrow as pa
 
-        for batch in batches:
-            at = batch.column(len(names)).to_numpy()
-            on = shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1
-            yield pa.RecordBatch.from_arrays(batch.columns[: len(names)], names).filter(pa.array(on.astype(bool)))
+            for batch in batches:
+                at = batch.column(len(names)).to_numpy()
+                on = (shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1) == wanted
+                yield pa.RecordBatch.from_arrays(batch.columns[: len(names)], names).filter(pa.array(on))
 
-    return texts.withColumn("_bit", bit).mapInArrow(keep, texts.schema)
+        return texts.withColumn("_bit", bit).mapInArrow(rows, texts.schema)
+
+    return keep(1), keep(0)
+
+
+def possible(texts: DataFrame, keys: DataFrame) -> DataFrame:
+    return split(texts, keys)[0]
 
 
 def rows_with_key(docs: DataFrame, *more) -> DataFrame:

@@ -11,7 +11,7 @@ every element as a partition of its own: their signatures are the set without up
 
 Groups that share a signature are never paired out.  Up to PAIRED members, all pairs are candidates; in a larger group all
 members are compared with one of them, and only where the verified links leave such a group in several components are
-members of different components compared, in blocks.  Candidates first pass a bound: the distance between two histograms of
+members of different components compared, in blocks: each with its nearest at first, all with all at last.  Candidates first pass a bound: the distance between two histograms of
 the hashes never exceeds the number of elements in which the sets differ.  What passes is counted exactly on whole sets.
 
 Defined cases: a text that is null or has no word has an empty set and is linked with nothing; a text with fewer than five
@@ -29,9 +29,9 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mensura.llm.common import NO_ID, Tables, checkpoint, chunks, components, mix, possible, powers, text_buffers, tune
+from mensura.llm.common import NO_ID, Tables, checkpoint, chunks, components, mix, possible, powers, rows_with_key, split, text_buffers, tune
 
-SHINGLE, TINY, PAIRED, HIST, HOT = 5, 12, 4, 128, 64
+SHINGLE, TINY, PAIRED, HIST, HOT, PIVOTS = 5, 12, 4, 128, 64, 512
 U = np.uint64
 _BASE, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 2**64)
 _STEPS = [U(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
@@ -58,7 +58,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     last[:-1] &= ~letter[1:]
     last[inner - 1] = letter[inner - 1]
     s, e = np.flatnonzero(first), np.flatnonzero(last) + 1
-    size = 1 << max(int(len(data)).bit_length(), 21)
+    size = 1 << max(int(len(data)).bit_length(), 20)
     up, down = _powers(size)
     total = np.empty(len(data) + 1, np.uint64)
     total[0] = 0
@@ -71,7 +71,7 @@ def shingle_sets(column) -> tuple[np.ndarray, np.ndarray]:
     data, offsets = text_buffers(column)
     sets: list[np.ndarray] = []
     empty = np.zeros(0, np.uint64)
-    for i, j in chunks(offsets, 2 << 20):
+    for i, j in chunks(offsets, 1 << 20):
         at = offsets[i : j + 1] - offsets[i]
         w, upto = word_hashes(data[offsets[i] : offsets[j]], at)
         full = empty
@@ -134,6 +134,7 @@ def signatures(h: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     v = mix(h ^ U(0x2545F4914F6CDD1D))
     who: list[np.ndarray] = []
     sig: list[np.ndarray] = []
+    odd: list[np.ndarray] = []
     table = bands(max(int(sizes.max(initial=0)) * 5 // 4, TINY + 1))
     lows = np.array([b[0] for b in table])
     own = np.searchsorted(lows, sizes, "right") - 1
@@ -156,6 +157,7 @@ def signatures(h: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
         e = element[start]
         key = (tags[e].astype(np.uint64) << U(40)) + part[start] + U(1)
         who.append(e)
+        odd.append(tags[e] & 1)
         sig.append(mix(total[end] - total[start] + mix(key * U(_BASE))))
         occupied = np.bincount(e, minlength=len(sizes))
         ks = np.array([b[2] for b in table])[np.maximum(tags, 0)]
@@ -165,6 +167,7 @@ def signatures(h: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
             marks = mix(np.array(empty, np.uint64) + U(0xA24BAED4963EE407))
             few = [int(marks[list(c)].sum()) for c in itertools.combinations(range(len(empty)), n1 - k)]
             who.append(np.full(len(few), i))
+            odd.append(np.full(len(few), tags[i] & 1))
             sig.append(mix(np.array(few, np.uint64) + mix(np.array([(int(tags[i]) << 40) * 3 + 7], np.uint64))))
     for i in np.flatnonzero((sizes > 0) & (sizes <= TINY)).tolist():
         x = v[offsets[i] : offsets[i + 1]]
@@ -175,10 +178,12 @@ def signatures(h: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
         if sizes[i] >= 9:
             few += [(whole - a - b) % 2**64 for a, b in itertools.combinations(x.tolist(), 2)]
         who.append(np.full(len(few), i))
+        odd.append(np.zeros(len(few), np.int64))
         sig.append(mix(np.array(few, np.uint64) + U(0x9FB21C651E98DF25)))
     if not who:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    return np.concatenate(who), np.concatenate(sig)
+    # 47 bits and whether the band is odd; strangers that share 47 bits only cost a comparison.
+    return np.concatenate(who), (np.concatenate(sig) & U(0xFFFFFFFFFFFE)) | np.concatenate(odd).astype(np.uint64)
 
 
 def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -188,7 +193,11 @@ def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _pairs_of(sig: np.ndarray, fp: np.ndarray):
-    """Candidate pairs (smaller, larger) of groups, and (sig, fp) of the groups that were not paired out."""
+    """Candidate pairs (smaller, larger) of groups, and (sig, fp) of the groups that were not paired out.
+
+    The star of a large group only serves to find its components early; what it leaves apart is compared later.  Two sets of
+    one band meet in an even and in an odd one, so groups of odd bands have no star.
+    """
     order = np.lexsort((fp, sig))
     sig, fp = sig[order], fp[order]
     keep = np.ones(len(sig), bool)
@@ -205,7 +214,7 @@ def _pairs_of(sig: np.ndarray, fp: np.ndarray):
     s, n = start[large], size[large]
     rows = np.repeat(s, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) if len(s) else np.zeros(0, np.int64)
     pivot = np.repeat(fp[s], n)
-    other = fp[rows] != pivot
+    other = (fp[rows] != pivot) & ((sig[rows] & U(1)) == 0)
     a.append(pivot[other])
     b.append(fp[rows][other])
     a, b = np.concatenate(a), np.concatenate(b)
@@ -245,7 +254,7 @@ def _map(batches, buckets: int):
                 inside = np.repeat(hot, size)
                 a, b, s, f = _pairs_of(sig[inside], node[inside])
                 k = int(abs(int(fp[0])) % buckets)
-                rows.append((k, b"", b"", a.tobytes(), b.tobytes(), b""))
+                rows.append((k, b"", b"", a.tobytes(), b.tobytes(), b"p"))
                 rows.append((k, b"", b"", s.tobytes(), f.tobytes(), b"m"))
                 first = np.zeros(len(sig), bool)
                 first[start] = True
@@ -254,7 +263,9 @@ def _map(batches, buckets: int):
                 bucket, sig, node = bucket[rest], sig[rest], node[rest]
             start, size = _runs(bucket)
             for s, n in zip(start.tolist(), size.tolist(), strict=True):
-                rows.append((int(bucket[s]), sig[s : s + n].tobytes(), node[s : s + n].tobytes(), b"", b"", b""))
+                x = sig[s : s + n]
+                used, index = np.unique(node[s : s + n], return_inverse=True)
+                rows.append((int(bucket[s]), x.astype(np.uint32).tobytes(), (x >> U(32)).astype(np.uint16).tobytes(), used.tobytes(), index.astype(np.uint16).tobytes(), b""))
         cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], ["bucket", "a", "b", "c", "d", "e"])
 
@@ -276,8 +287,11 @@ def _reduce(table):
         hist = np.frombuffer(b"".join(cols["e"]), np.uint8).reshape(-1, HIST)
         kinds = np.zeros(len(x), np.int32)
     else:
-        a, b, sig, fp = _pairs_of(longs("a", np.uint64), longs("b"))
-        pairs = [i for i, m in enumerate(cols["e"]) if m != b"m"]
+        own = [i for i, m in enumerate(cols["e"]) if not m]
+        low, high = (np.frombuffer(b"".join(cols[n][i] for i in own), t).astype(np.uint64) for n, t in (("a", np.uint32), ("b", np.uint16)))
+        fp = [np.frombuffer(cols["c"][i], np.int64)[np.frombuffer(cols["d"][i], np.uint16)] for i in own]
+        a, b, sig, fp = _pairs_of(low | high << U(32), np.concatenate(fp) if fp else np.zeros(0, np.int64))
+        pairs = [i for i, m in enumerate(cols["e"]) if m == b"p"]
         a = np.concatenate([a, np.frombuffer(b"".join(cols["c"][i] for i in pairs), np.int64)])
         b = np.concatenate([b, np.frombuffer(b"".join(cols["d"][i] for i in pairs), np.int64)])
         lists = [i for i, m in enumerate(cols["e"]) if m == b"m"]
@@ -303,33 +317,50 @@ def _bounded(batches):
         yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], ["a", "b"])
 
 
+def _packed(h: np.ndarray) -> bytes:
+    """The upper 40 bits of each hash, 5 bytes: on the way to a comparison, two of a pair's elements meet by chance in one of
+    about 2 ** 40 / (r * s) pairs, and then change its count by one."""
+    h = h >> U(24)
+    return (h >> U(8)).astype(np.uint32).tobytes() + h.astype(np.uint8).tobytes()
+
+
+def _unpacked(blob: bytes) -> np.ndarray:
+    n = len(blob) // 5
+    return np.frombuffer(blob, np.uint32, n).astype(np.uint64) << U(8) | np.frombuffer(blob, np.uint8, n, 4 * n).astype(np.uint64)
+
+
 def _sets(batches):
-    """(pivot, node, whole set) for each pivot that a text is to be compared with."""
+    """(key, sub, node, against, whole set): a set goes once to each group of pivots that it is compared with.
+
+    against lists these pivots; it is empty in the row of a pivot itself.
+    """
     import pyarrow as pa
 
     for batch in batches:
         h, offsets = shingle_sets(batch.column(0))
-        nodes, lists = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+        nodes, groups = batch.column(1).to_pylist(), batch.column(2).to_pylist()
         for i in range(0, len(nodes), 64):  # what goes out at once stays small
-            rows = [(p, nodes[k], h[offsets[k] : offsets[k + 1]].tobytes()) for k in range(i, min(i + 64, len(nodes))) for p in lists[k]]
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary())], ["pivot", "node", "hashes"])
+            rows = [(g["key"], g["sub"], nodes[k], g["against"], _packed(h[offsets[k] : offsets[k + 1]])) for k in range(i, min(i + 64, len(nodes))) for g in groups[k]]
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
+            types = (pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["key", "sub", "node", "against", "hashes"])
 
 
 def _compare(batches):
-    """Links between each pivot and the nodes that follow it; rows are sorted by pivot, the pivot's own first."""
+    """Links of each group's pivots; rows come sorted by group, the pivots' own first."""
     import pyarrow as pa
 
-    pivot, own = None, None
+    now, pivots = None, {}
     for batch in batches:
         a, b = [], []
-        for p, node, blob in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            x = np.frombuffer(blob, np.uint64)
-            if p != pivot:
-                pivot, own = p, None
-            if node == p:
-                own = x
-            elif own is not None:
+        for key, sub, node, against, blob in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            x = _unpacked(blob)
+            if (key, sub) != now:
+                now, pivots = (key, sub), {}
+            if not against:
+                pivots[node] = x
+            for p in against:
+                own = pivots[p]
                 both = len(np.intersect1d(own, x, assume_unique=True))
                 if 100 * both >= 80 * (len(own) + len(x) - both):
                     a.append(p)
@@ -340,66 +371,106 @@ def _compare(batches):
 def verify(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) that are linked.  nodes: node, w, h, _id, _th (a text of the node).  texts: _id, _th, text.
 
-    Only texts of nodes in pairs that pass the bound are read again; each set goes to the pivots it is compared with.
+    Only texts of nodes in pairs that pass the bound are read again.  Pivots with the same least partner form a group, at most
+    about PIVOTS in one task, so that in a dense cluster each set travels once and not once for each pair.
     """
     left = nodes.select(F.col("node").alias("a"), F.col("w").alias("na"), F.col("h").alias("ha"))
     right = nodes.select(F.col("node").alias("b"), F.col("w").alias("nb"), F.col("h").alias("hb"))
     sized = pairs.join(left, "a").join(right, "b").where("5 * least(na, nb) >= 4 * greatest(na, nb)")
     found = checkpoint(sized.select("a", "b", "na", "nb", "ha", "hb").mapInArrow(_bounded, "a long, b long"))
-    sent = found.select(F.col("b").alias("node"), F.col("a").alias("pivot")).unionByName(found.select(F.col("a").alias("node"), F.col("a").alias("pivot")).distinct())
-    to = sent.groupBy("node").agg(F.collect_set("pivot").alias("pivots"))
+    low = found.select("a", "b").unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.min("b").alias("low"))
+    pivots = found.select("a").distinct().join(low, "a").select("a", F.least("a", "low").alias("key"))
+    many = pivots.groupBy("key").agg(F.ceil(F.count("*") / PIVOTS).alias("n"))
+    pivots = pivots.join(many, "key").select("a", "key", F.pmod(F.xxhash64("a"), F.col("n")).cast("int").alias("sub"))
+    others = found.join(pivots, "a").groupBy(F.col("b").alias("node"), "key", "sub").agg(F.collect_set("a").alias("against"))
+    own = pivots.select(F.col("a").alias("node"), "key", "sub", F.array().cast("array<long>").alias("against"))
+    to = others.unionByName(own).groupBy("node").agg(F.collect_list(F.struct("key", "sub", "against")).alias("groups"))
     to = checkpoint(to.join(nodes.select("node", "_id", "_th"), "node"))
-    sets = possible(texts, to).join(to, ["_id", "_th"]).select("text", "node", "pivots").mapInArrow(_sets, "pivot long, node long, hashes binary")
-    sets = sets.repartition("pivot").sortWithinPartitions("pivot", (F.col("node") != F.col("pivot")), "node")
+    sets = possible(texts, to).join(to, ["_id", "_th"]).select("text", "node", "groups").mapInArrow(_sets, "key long, sub int, node long, against array<long>, hashes binary")
+    sets = sets.repartition("key", "sub").sortWithinPartitions("key", "sub", F.size("against") > 0, "node")
     return sets.mapInArrow(_compare, "a long, b long")
 
 
-def _across(batches):
-    """Pairs of members of different components whose histograms allow a link; rows come sorted by signature."""
+def _group_pairs(rows: list, nearest: bool) -> set[tuple[int, int]]:
+    """Pairs of members of different components whose sizes and histograms allow a link; if nearest, only those of each
+    member with its nearest one."""
+    fp, comp, n = (np.array(c, np.int64) for c in list(zip(*rows, strict=True))[:3])
+    hist = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(-1, HIST).astype(np.int16)
+    order = np.argsort(n, kind="stable")
+    fp, comp, n, hist = fp[order], comp[order], n[order], hist[order]
+    out: set[tuple[int, int]] = set()
+    least, partner = np.full(len(fp), np.iinfo(np.int64).max), np.full(len(fp), -1)
+    for i in range(len(fp)):
+        j = np.arange(i + 1, np.searchsorted(n, n[i] * 5 // 4, "right"))
+        j = j[comp[j] != comp[i]]
+        for k in range(0, len(j), 4096):
+            at = j[k : k + 4096]
+            d = np.abs(hist[at] - hist[i]).sum(axis=1).astype(np.int64)
+            ok = 9 * d <= n[at] + n[i]
+            at, d = at[ok], d[ok]
+            if nearest and len(at):
+                b = int(d.argmin())
+                if d[b] < least[i]:
+                    least[i], partner[i] = d[b], at[b]
+                closer = d < least[at]
+                least[at[closer]], partner[at[closer]] = d[closer], i
+            elif not nearest:
+                out.update((min(int(fp[i]), b), max(int(fp[i]), b)) for b in fp[at].tolist())
+    for i in np.flatnonzero(partner >= 0).tolist():
+        a, b = int(fp[i]), int(fp[partner[i]])
+        out.add((min(a, b), max(a, b)))
+    return out
+
+
+PAIRS = "bucket int, a binary, b binary"
+
+
+def _across(batches, nearest: bool, buckets: int):
+    """_group_pairs() of groups that are in several components, as blobs by a hash of the pair; rows come sorted by signature."""
     import pyarrow as pa
 
-    def pairs(rows):
-        fp, comp, n = (np.array(c, np.int64) for c in list(zip(*rows, strict=True))[:3])
-        hist = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(-1, HIST).astype(np.int16)
-        order = np.argsort(n, kind="stable")
-        fp, comp, n, hist = fp[order], comp[order], n[order], hist[order]
-        for i in range(len(fp)):
-            j = np.arange(i + 1, np.searchsorted(n, n[i] * 5 // 4, "right"))
-            j = j[comp[j] != comp[i]]
-            for k in range(0, len(j), 4096):
-                at = j[k : k + 4096]
-                at = at[9 * np.abs(hist[at] - hist[i]).sum(axis=1) <= n[at] + n[i]]
-                for b in fp[at].tolist():
-                    yield min(int(fp[i]), b), max(int(fp[i]), b)
-
     def out(found):
-        a, b = zip(*found, strict=True) if found else ((), ())
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        a, b = (np.array(c, np.int64) for c in (zip(*found, strict=True) if found else ((), ())))
+        to = (mix(a.view(np.uint64) * U(3) + b.view(np.uint64)) % U(buckets)).astype(np.int64)
+        ks = np.unique(to).tolist()
+        return pa.RecordBatch.from_arrays([pa.array(ks, pa.int32()), pa.array([a[to == k].tobytes() for k in ks], pa.binary()), pa.array([b[to == k].tobytes() for k in ks], pa.binary())], ["bucket", "a", "b"])
 
     now, rows, found = None, [], set()
     for batch in batches:
         for sig, *row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
             if sig != now:
                 if len({r[1] for r in rows}) > 1:
-                    found.update(pairs(rows))
+                    found |= _group_pairs(rows, nearest)
                 now, rows = sig, []
             rows.append(row)
         if len(found) > 100_000:
             yield out(found)
             found = set()
     if len({r[1] for r in rows}) > 1:
-        found.update(pairs(rows))
+        found |= _group_pairs(rows, nearest)
     yield out(found)
 
 
+def _distinct(table):
+    import pyarrow as pa
+
+    a, b = (np.frombuffer(b"".join(table.column(n).to_pylist()), np.int64) for n in ("a", "b"))
+    pairs = np.unique(np.stack([a, b]), axis=1)
+    return pa.Table.from_arrays([pa.array(pairs[0], pa.int64()), pa.array(pairs[1], pa.int64())], ["a", "b"])
+
+
 def classes(docs: DataFrame) -> DataFrame:
-    """(_id, _th, n_shingles, component, rows) of every different document: component is the smallest _id that it reaches."""
+    """(_id, _th, n_shingles, component, group, rows) of every different document.
+
+    component is the smallest _id that it reaches; group numbers what is linked (rows with one doc_id and several texts can
+    be in several groups with one component).
+    """
     spark = docs.sparkSession
     tune(spark)
     text = F.col("text").cast("string")
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"), F.xxhash64(text).alias("_th"), text.alias("text"))
     volume = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(8, int(volume * 1e-7))
+    buckets = max(4, int(volume * 5e-8))
     with Tables(spark) as table:
         rows = texts.mapInArrow(lambda it: _map(it, buckets), "bucket int, a binary, b binary, c binary, d binary, e binary")
         rows = table(rows.groupBy("bucket").applyInArrow(_reduce, ROWS), "rows")
@@ -407,21 +478,25 @@ def classes(docs: DataFrame) -> DataFrame:
         nodes = copies.where("w > 0").groupBy(F.col("z").alias("node")).agg(F.min(F.struct(F.col("x").alias("_id"), F.col("y").alias("_th"))).alias("_r"), F.first("w").alias("w"), F.first("h").alias("h"))
         nodes = table(nodes.select("node", "w", "h", "_r._id", "_r._th"), "nodes")
         links = table(verify(rows.where("kind = 1").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), nodes, texts), "links")
+        members = table(rows.where("kind = 2").select(F.col("x").alias("sig"), F.col("y").alias("node")).distinct(), "members")
+        # Members of different components are compared: first each with its nearest, which joins what is dense, then all.
+        tested = None
+        for number, nearest in enumerate((True, False)):
+            parts = components(links)
+            placed = members.join(parts, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("component"))
+            open_ = placed.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("sig")
+            across = placed.join(open_, "sig").join(nodes.select("node", "w", "h"), "node").select("sig", "node", "component", "w", "h")
+            blobs = across.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(lambda it, nearest=nearest: _across(it, nearest, buckets), PAIRS)
+            across = blobs.groupBy("bucket").applyInArrow(_distinct, "a long, b long")
+            across = table(across if tested is None else across.join(tested, ["a", "b"], "left_anti"), f"across{number}")
+            more = table(verify(across, nodes, texts), f"more{number}")
+            links, tested = links.unionByName(more), across
         parts = components(links)
-        members = rows.where("kind = 2").select(F.col("x").alias("sig"), F.col("y").alias("node")).distinct()
-        members = members.join(parts, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("component"))
-        members = table(members, "members")
-        open_ = members.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("sig")
-        across = members.join(open_, "sig").join(nodes.select("node", "w", "h"), "node").select("sig", "node", "component", "w", "h")
-        across = across.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(_across, "a long, b long").distinct()
-        more = table(verify(across, nodes, texts), "more")
-        if not more.isEmpty():
-            parts = components(links.unionByName(more))
         ids = copies.join(parts.select(F.col("node").alias("z"), "component"), "z", "left")
         ids = ids.select(F.col("x").alias("_id"), F.col("y").alias("_th"), F.col("w").alias("n_shingles"), "rows", F.when(F.col("w") > 0, F.coalesce("component", "z")).alias("_c"))
         ids = table(ids, "ids")
         least = ids.where("_c is not null").groupBy("_c").agg(F.min("_id").alias("component"))
-        return checkpoint(ids.join(least, "_c", "left").select("_id", "_th", "n_shingles", F.coalesce("component", "_id").alias("component"), "rows"))
+        return checkpoint(ids.join(least, "_c", "left").select("_id", "_th", "n_shingles", F.coalesce("component", "_id").alias("component"), F.col("_c").alias("group"), "rows"))
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -432,12 +507,15 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs without those that are linked with a smaller doc_id, and one of each row that repeats.
+    """The rows of docs with one document of each group of linked ones, its smallest doc_id, and one of each row that repeats.
 
-    Documents without a shingle are linked with nothing and all stay.
+    Documents without a shingle are linked with nothing and all stay.  Only documents of groups and repeated rows go through
+    an exchange; all others pass by.
     """
-    found = classes(docs).where("_id = component").select("_id", "_th", "n_shingles")
-    keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "_th": F.xxhash64(F.col("text").cast("string"))})
-    joined = keyed.join(found, ["_id", "_th"])
-    one = joined.where("n_shingles > 0").dropDuplicates(["_id"])
-    return one.unionByName(joined.where("n_shingles = 0")).select(*docs.columns)
+    found = checkpoint(classes(docs).where("n_shingles > 0"))
+    first = found.groupBy("group").agg(F.min(F.struct("_id", "_th")).alias("f")).select("f._id", "f._th", F.lit(True).alias("first"))
+    marked = checkpoint(found.join(first, ["_id", "_th"], "left").where("rows > 1 OR first IS NULL").select("_id", "_th", F.lit(True).alias("listed"), "first"))
+    touched, rest = split(rows_with_key(docs), marked)
+    touched = touched.join(marked, ["_id", "_th"], "left")
+    once = touched.where("first").groupBy("_id", "_th").agg(F.first("_row").alias("_row"))
+    return rest.select("_row.*").unionByName(touched.where("listed IS NULL").select("_row.*")).unionByName(once.select("_row.*"))
