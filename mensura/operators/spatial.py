@@ -149,6 +149,7 @@ def two_nearest_bridges(points: DataFrame, radius: float, key: str) -> DataFrame
 
 
 def polygon_signature(vertices: Column, tolerance: float = 0.01) -> Column:
-    """Rounded corners in sorted order: equal for a polygon that starts elsewhere."""
-    near = lambda c: F.floor(c / tolerance + 0.5) * tolerance
-    return F.array_join(F.transform(F.array_sort(F.transform(vertices, lambda v: F.struct(near(v["x"]).alias("x"), near(v["y"]).alias("y")))), lambda v: F.concat_ws(",", F.format_number(v["x"], "0.00"), F.format_number(v["y"], "0.00"))), "|")
+    """Corners as multiples of the tolerance, in sorted order: equal for a polygon that starts elsewhere."""
+    near = lambda c: F.floor(c / tolerance + 0.5)
+    corners = F.array_sort(F.transform(vertices, lambda v: F.struct(near(v["x"]).alias("x"), near(v["y"]).alias("y"))))
+    return F.array_join(F.transform(corners, lambda v: F.concat_ws(",", v["x"].cast("string"), v["y"].cast("string"))), "|")

@@ -38,7 +38,7 @@ def read_takeoff_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def read_group_codes(spark: SparkSession, path: str) -> DataFrame:
     """(file, line, code, value) of drawing files: lines come in pairs of a code and a value."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), F.split(F.regexp_replace(F.replace("value", F.lit("﻿")), "\r\n?", "\n"), "\n").alias("l"))
+    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.split(F.regexp_replace(F.replace("value", F.lit("﻿")), "\r\n?", "\n"), "\n").alias("l"))
     pairs = F.transform(F.sequence(F.lit(0), F.greatest(F.floor(F.size("l") / 2) - 1, F.lit(0))), lambda i: F.struct(i.cast("int").alias("line"), F.trim(F.get("l", (i * 2).cast("int"))).alias("code"), F.get("l", (i * 2 + 1).cast("int")).alias("value")))
     return lines.select("file", F.inline(pairs)).where(F.col("code").rlike(r"^\d+$")).withColumn("code", F.col("code").cast("int"))
 
