@@ -101,7 +101,7 @@ def smallest_zone(points: DataFrame, zones: DataFrame, key: str, cell: float) ->
     z = z.withColumn("_cx", F.explode(grid("x"))).withColumn("_cy", F.explode(grid("y")))
     own = points.withColumns({"_cx": F.floor(F.col("x") / cell), "_cy": F.floor(F.col("y") / cell)})
     hit = own.join(z, ["_cx", "_cy"]).where(contains(F.col("vertices"), F.col("x"), F.col("y")))
-    return hit.groupBy(key).agg(F.min_by("zone", F.struct("_area", "zone")).alias("zone"), F.min("_area").alias("zone_area"))
+    return hit.groupBy(key).agg(F.min_by("zone", F.struct(F.round("_area", 6).alias("a"), "zone")).alias("zone"), F.min("_area").alias("zone_area"))
 
 
 def transform_point(p: Column, t: Column) -> Column:

@@ -103,7 +103,7 @@ def _(items):
 
 @register("agg4_layer_samples", f"SELECT {ORD}, layer, type, rn FROM (SELECT *, row_number() OVER (PARTITION BY layer, type ORDER BY {ORD}) AS rn FROM cad_items) WHERE rn <= 3", "cad_items")
 def _(items):
-    return K.samples(items).select(*ORDINAL, "layer", "type", "rn")
+    return K.samples(items).select(*ORDINAL, "layer", "type", F.col("rn").cast("long").alias("rn"))
 
 
 @register("agg5_aggregate_items", f"SELECT type, name_raw, layer, round(sum(value_si), 6) AS value_si, arg_min(zone, ({ORD})) AS zone, count(*) AS n_items FROM cad_items WHERE type <> 'text' GROUP BY 1, 2, 3", "cad_items")
@@ -268,7 +268,7 @@ t AS (SELECT *, row_number() OVER w AS rank, lead(score) OVER w AS next_score FR
 def _(bill, rows):
     items = M.prepare_items(bill).where(~M.is_header(F.col("description"), F.col("unit")) & (F.col("kind") != "service"))
     best = M.top(M.scored(M.pairs(items, M.prepare_layers(K.layer_index(rows)))))
-    return rounded(best.select("row_index", "rank", "layer", "score", "qty_used"), "qty_used")
+    return rounded(best.select("row_index", F.col("rank").cast("long").alias("rank"), "layer", "score", "qty_used"), "qty_used")
 
 
 @register("win2_match_status", f"""WITH {SCORED}, b AS (SELECT * FROM t WHERE rank = 1), j AS (SELECT i2.row_index, i2.description, i2.unit, i2.kind, b.layer, b.score, b.next_score, b.qty_used, {HEADER.replace('unit', 'i2.unit').replace('description', 'i2.description')} AS header,
@@ -469,7 +469,7 @@ def _(j):
     from pyspark.sql import Window
 
     w = Window.partitionBy("batch_id").orderBy("created_at", "id")
-    return R.next_version(j.withColumn("version_number", F.row_number().over(w)))
+    return R.next_version(j.withColumn("version_number", F.row_number().over(w).cast("long")))
 
 
 @register("set1_union_items", f"SELECT {ORD}, type FROM cad_items WHERE type = 'area' UNION ALL SELECT {ORD}, type FROM cad_items WHERE type = 'length'", "cad_items")

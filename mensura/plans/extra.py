@@ -53,7 +53,7 @@ def _factors(b):
     return b.select("row_index", V.text_factor(r % 10 / 10).alias("f1"), V.spatial_factor(how, r % 7).alias("f2"), V.geometry_factor(F.col("qty"), F.lit(None).cast("double")).alias("f3"), V.expected_factor(q, F.col("expected_qty")).alias("f4"))
 
 
-@register("qty19_confidence_factors", f"WITH {FACTORS} SELECT row_index, round(f1, 6) AS f1, round(f2, 6) AS f2, round(f3, 6) AS f3, round(f4, 6) AS f4 FROM t", "bill_items")
+@register("qty19_confidence_factors", f"WITH {FACTORS} SELECT row_index, round(f1::DOUBLE, 6) AS f1, round(f2::DOUBLE, 6) AS f2, round(f3::DOUBLE, 6) AS f3, round(f4::DOUBLE, 6) AS f4 FROM t", "bill_items")
 def _(b):
     return rounded(_factors(b), "f1", "f2", "f3", "f4")
 
