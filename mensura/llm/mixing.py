@@ -183,10 +183,10 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs, each as many times as the mix takes it."""
     from pyspark.sql import Window
 
-    keyed = rows_with_key(docs, F.col("source").cast("string").alias("_src"))
-    taken = copies(docs, **options).groupBy("_id", "_th", "source").agg(F.sum("copies").alias("_all"), F.count("*").alias("_rows")).withColumnRenamed("source", "_own")
-    # Equal rows share what they take: each has the mean, and the first of them the rest.
+    source = lambda c: F.coalesce(c.cast("string"), F.lit("\x00null")).alias("_src")
+    taken = copies(docs, **options).groupBy("_id", "_th", source(F.col("source"))).agg(F.sum("copies").alias("_all"), F.count("*").alias("_rows"))
+    joined = rows_with_key(docs, source(F.col("source"))).join(taken.where("_all > 0"), ["_id", "_th", "_src"])
+    # Equal rows share what they take: each has the mean, and the first of them the rest.  The join has dealt them by these keys.
     n = F.row_number().over(Window.partitionBy("_id", "_th", "_src").orderBy("_id"))
-    joined = keyed.withColumn("_k", n).join(taken, ["_id", "_th"]).where(F.col("_src").eqNullSafe(F.col("_own")))
     times = F.floor(F.col("_all") / F.col("_rows")) + (F.col("_k") <= F.col("_all") % F.col("_rows")).cast("long")
-    return joined.withColumn("_t", F.explode(F.array_repeat(F.lit(1), times.cast("int")))).select("_row.*")
+    return joined.withColumn("_k", n).withColumn("_t", F.explode(F.array_repeat(F.lit(1), times.cast("int")))).select("_row.*")

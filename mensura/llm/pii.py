@@ -23,7 +23,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mensura.llm.common import NO_ID, checkpoint, rows_with_key, tune
+from mensura.llm.common import NO_ID, checkpoint, rows_with_key, split, tune
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, SUPPORT, GENERALISE, DISCLOSURE = 4, 3, 0.6, 0.8
@@ -177,14 +177,19 @@ def _replace(batches):
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
-    """The rows of docs with sanitised texts: base spans become [EMAIL] and so on, disclosing words go or become [TERM]."""
+    """The rows of docs with sanitised texts: base spans become [EMAIL] and so on, disclosing words go or become [TERM].
+
+    Only documents that may have a span go through an exchange.
+    """
     from pyspark.sql.types import StringType, StructType
 
-    spans = find(docs).where("size(base) > 0 or size(terms) > 0").select("_id", "_th", "base", "terms")
-    joined = rows_with_key(docs, F.col("text").cast("string").alias("_text")).join(spans, ["_id", "_th"], "left").select("_row", "_text", "base", "terms")
-    schema = StructType([joined.schema["_row"]]).add("_text", StringType())
-    done = joined.mapInArrow(_replace, schema)
-    return done.select(*[F.col("_text").alias(c) if c == "text" else F.col(f"_row.`{c}`") for c in docs.columns])
+    spans = checkpoint(find(docs).where("size(base) > 0 or size(terms) > 0").select("_id", "_th", "base", "terms"))
+    touched, rest = split(rows_with_key(docs), spans)
+    text = F.col("_row.text").cast("string").alias("_text")
+    joined = touched.join(spans, ["_id", "_th"], "left").select("_row", text, "base", "terms")
+    done = joined.mapInArrow(_replace, StructType([joined.schema["_row"]]).add("_text", StringType()))
+    both = done.unionByName(rest.select("_row", text))
+    return both.select(*[F.col("_text").alias(c) if c == "text" else F.col(f"_row.`{c}`") for c in docs.columns])
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
