@@ -160,3 +160,14 @@ def rows_with_key(docs: DataFrame, *more) -> DataFrame:
     """_row (the whole row, so that names can't clash), _id, _th and the columns given."""
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id")
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), key, F.xxhash64(F.col("text").cast("string")).alias("_th"), *more)
+
+
+_RESIDENT: dict = {}
+
+
+def resident(key, make):
+    """What a Python worker keeps from task to task: one object, so that the memory of one stage isn't there in the next."""
+    if key not in _RESIDENT:
+        _RESIDENT.clear()
+        _RESIDENT[key] = make()
+    return _RESIDENT[key]

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mensura.llm.common import mix, tune
+from mensura.llm.common import mix, resident, tune
 
 TRAIN_DOCS, BUCKETS, ORDER, SWITCH, SCRIPT_SHARE, UND = 3000, 1 << 15, 4, 8.0, 0.02, "und"
 WORD = re.compile(r"[^\W\d_]+")
@@ -191,7 +191,7 @@ def label(s: np.ndarray, starts: np.ndarray, sizes: np.ndarray, switch: float) -
 class Labeller:
     """Scores of words, kept while there is room."""
 
-    LIMIT = 500_000
+    LIMIT = 300_000
 
     def __init__(self, model: Model):
         self.model, self.rows = model, {}
@@ -249,19 +249,12 @@ class Labeller:
         return out
 
 
-_LABELLERS: dict[bytes, Labeller] = {}
-
-
 def _predict(batches, blob: bytes):
     import pickle
 
     import pyarrow as pa
 
-    key = zlib.crc32(blob).to_bytes(4, "big") + len(blob).to_bytes(8, "big")
-    if key not in _LABELLERS:
-        _LABELLERS.clear()
-        _LABELLERS[key] = Labeller(pickle.loads(blob))
-    labeller = _LABELLERS[key]
+    labeller = resident(("labeller", len(blob), zlib.crc32(blob)), lambda: Labeller(pickle.loads(blob)))
     for batch in batches:
         at = batch.schema.get_field_index("text")
         found = labeller.predict(batch.column(at).to_pylist())

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mensura.llm.common import tune
+from mensura.llm.common import resident, tune
 
 GROUP, SLACK = 512, 0.01
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -38,7 +38,7 @@ class Encoder:
     PLAIN = re.compile(r"[\t\n\r\x20-\x7eÀ-ÖØ-öø-ÿ]*")
     #: The pre-tokenizer's pattern, for the characters of PLAIN.
     PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
-    LIMIT = 700_000
+    LIMIT = 400_000
 
     def __init__(self, path: str):
         import os
@@ -89,17 +89,12 @@ class Encoder:
         return out
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(name: str) -> Encoder:
-    if name not in _ENCODERS:
-        import os
+    import os
 
-        import public_tokenizers
+    import public_tokenizers
 
-        _ENCODERS[name] = Encoder(name if os.sep in name else public_tokenizers.path(name))
-    return _ENCODERS[name]
+    return resident(("encoder", name), lambda: Encoder(name if os.sep in name else public_tokenizers.path(name)))
 
 
 def differencing(sizes: list[int], m: int) -> list[list[int]]:
@@ -211,10 +206,10 @@ def _tokens(batches, name: str, end: int, capacity: int, groups: int):
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["grp", "doc_id", "start", "doc_tokens", "crc", "ids"])
 
 
-def _pack(table, name: str, capacity: int, with_ids: bool):
+def _pack(table, dtype: str, capacity: int, with_ids: bool):
     import pyarrow as pa
 
-    dtype = encoder(name).dtype
+    dtype = np.dtype(dtype)
     grp, docs, starts, totals, crcs, ids = (c.to_pylist() for c in table.columns)
     base, rows, k = (grp[0] << 31) if grp else 0, [], 0
     for i in range(len(docs)):
@@ -246,10 +241,13 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end: int = 2, ca
     """
     tune(docs.sparkSession)
     groups = max(1, math.ceil(docs.count() / GROUP))
+    dtype = encoder(tokenizer).dtype.str
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
         lambda it: _tokens(it, tokenizer, end, capacity, groups), "grp int, doc_id long, start long, doc_tokens long, crc long, ids binary"
     )
-    return rows.groupBy("grp").applyInArrow(lambda t: _pack(t, tokenizer, capacity, False), SCHEMA)
+    # A task has about 64 groups, so that the result isn't many small files.
+    parts = max(docs.sparkSession.sparkContext.defaultParallelism, math.ceil(groups / 64))
+    return rows.repartition(parts, "grp").groupBy("grp").applyInArrow(lambda t: _pack(t, dtype, capacity, False), SCHEMA)
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
