@@ -30,19 +30,32 @@ def reliable_length() -> Column:
     return F.when(F.col("name").isin(LENGTH_TYPES) & (F.col("length") > 0), F.col("length") * F.col("cnt"))
 
 
-def detect_unit(rows: DataFrame) -> DataFrame:
-    """unit and confidence from the upper median of area * count: one row.
+def narrowed(values: DataFrame, rank: int, most: int = 100_000, bins: int = 4096) -> tuple[DataFrame, int]:
+    """The part of values (one column v) that holds the element of a rank (from 0), and its rank there.
 
-    The median is an order statistic: percentile_disc over a frequency aggregation, whose partial states meet.
+    Each round counts values in equal bins between the bounds and keeps the bin with the rank: at most `bins` rows come to
+    the driver, and no task sees more than its share until few values are left.
     """
-    v = F.col("area") * F.col("cnt")
-    n = F.count(F.when(F.col("area") > 0, v))
-    positive = rows.where("area > 0").select(v.alias("v"))
-    # The element at position floor(n / 2) from 0 is the smallest with at least floor(n / 2) + 1 values up to it.
-    out = positive.groupBy("v").count()
-    running = out.withColumn("upto", F.sum("count").over(Window.orderBy("v"))).withColumn("n", F.sum("count").over(Window.partitionBy()))
-    del n
-    median = running.where(F.col("upto") >= F.floor(F.col("n") / 2) + 1).agg(F.min("v").alias("median"))
+    while True:
+        n, low, high = values.agg(F.count("v"), F.min("v"), F.max("v")).first()
+        if n <= most or low == high:
+            return values, rank
+        at = F.least(F.floor((F.col("v") - low) / (high - low) * bins), F.lit(bins - 1))
+        for b, count in sorted(map(tuple, values.groupBy(at.alias("b")).count().collect())):
+            if rank < count:
+                break
+            rank -= count
+        if count == n:
+            return values, rank
+        values = values.where(at == b)
+
+
+def detect_unit(rows: DataFrame) -> DataFrame:
+    """unit and confidence from the upper median of area * count: one row."""
+    positive = rows.where("area > 0").select((F.col("area") * F.col("cnt")).alias("v"))
+    few, rank = narrowed(positive, positive.count() // 2)
+    upto = few.groupBy("v").count().withColumn("upto", F.sum("count").over(Window.orderBy("v")))
+    median = upto.where(F.col("upto") >= rank + 1).agg(F.min("v").alias("median"))
     unit = F.when(F.col("median") > 1_000_000, "mm").when(F.col("median") > 1_000, "cm").otherwise("m")
     conf = F.when(F.col("median").isNull(), 0.0).when(F.col("median") > 1_000_000, 0.9).when(F.col("median") > 1_000, 0.7).otherwise(0.8)
     return median.select(F.round("median", 6).alias("median"), unit.alias("unit"), conf.alias("confidence"))

@@ -147,3 +147,11 @@ def test_empty_inputs(spark):
     items = view(spark, "/root/testdata/sf0.001", "cad_items").limit(0)
     assert K.layer_index(rows).count() == 0 and K.detect_unit(rows).first()["unit"] == "m"
     assert K.layer_profiles(items).count() == 0 and K.footprints(items).count() == 0 and K.health(items).first()["status"] == "critical"
+
+
+def test_narrowed_rank(spark):
+    rows = [(float(i * i % 997),) for i in range(3000)]
+    few, rank = K.narrowed(spark.createDataFrame(rows, "v double"), 1500, most=50, bins=16)
+    assert few.count() <= 50 and sorted(r["v"] for r in few.collect())[rank] == sorted(v for (v,) in rows)[1500]
+    same = spark.createDataFrame([(1.0,)] * 60, "v double")
+    assert K.narrowed(same, 30, most=50)[1] == 30
