@@ -11,7 +11,8 @@ every element as a partition of its own: their signatures are the set without up
 
 Groups that share a signature are never paired out.  Up to PAIRED members, all pairs are candidates; in a larger group all
 members are compared with one of them, and only where the verified links leave such a group in several components are
-members of different components compared, in blocks: each with its nearest at first, all with all at last.  Candidates first pass a bound: the distance between two histograms of
+members of different components compared, in blocks: each with its nearest at first, all with all at last.  A group that is
+large within one batch counts as large whatever other batches add to it.  Candidates first pass a bound: the distance between two histograms of
 the hashes never exceeds the number of elements in which the sets differ.  What passes is counted exactly on whole sets.
 
 Defined cases: a text that is null or has no word has an empty set and is linked with nothing; a text with fewer than five
@@ -192,9 +193,11 @@ def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, np.diff(np.append(start, len(key)))
 
 
-def _pairs_of(sig: np.ndarray, fp: np.ndarray):
+def _pairs_of(sig: np.ndarray, fp: np.ndarray, hot: np.ndarray | None = None):
     """Candidate pairs (smaller, larger) of groups, and (sig, fp) of the groups that were not paired out.
 
+    Groups of the signatures in hot have further members elsewhere, so they are listed whatever their size here.
+
     The star of a large group only serves to find its components early; what it leaves apart is compared later.  Two sets of
     one band meet in an even and in an odd one, so groups of odd bands have no star.
     """
@@ -211,6 +214,8 @@ def _pairs_of(sig: np.ndarray, fp: np.ndarray):
             a.append(fp[s + i])
             b.append(fp[s + j])
     large = size > PAIRED
+    if hot is not None:
+        large |= np.isin(sig[start], hot)
     s, n = start[large], size[large]
     rows = np.repeat(s, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) if len(s) else np.zeros(0, np.int64)
     pivot = np.repeat(fp[s], n)
@@ -256,6 +261,9 @@ def _map(batches, buckets: int):
                 k = int(abs(int(fp[0])) % buckets)
                 rows.append((k, b"", b"", a.tobytes(), b.tobytes(), b"p"))
                 rows.append((k, b"", b"", s.tobytes(), f.tobytes(), b"m"))
+                to, marked = bucket[start[hot]], sig[start[hot]]  # that member's group may be small where it goes
+                for k in np.unique(to).tolist():
+                    rows.append((k, b"", b"", marked[to == k].tobytes(), b"", b"h"))
                 first = np.zeros(len(sig), bool)
                 first[start] = True
                 rest = ~inside | first
@@ -290,7 +298,8 @@ def _reduce(table):
         own = [i for i, m in enumerate(cols["e"]) if not m]
         low, high = (np.frombuffer(b"".join(cols[n][i] for i in own), t).astype(np.uint64) for n, t in (("a", np.uint32), ("b", np.uint16)))
         fp = [np.frombuffer(cols["c"][i], np.int64)[np.frombuffer(cols["d"][i], np.uint16)] for i in own]
-        a, b, sig, fp = _pairs_of(low | high << U(32), np.concatenate(fp) if fp else np.zeros(0, np.int64))
+        hot = np.frombuffer(b"".join(cols["c"][i] for i, m in enumerate(cols["e"]) if m == b"h"), U)
+        a, b, sig, fp = _pairs_of(low | high << U(32), np.concatenate(fp) if fp else np.zeros(0, np.int64), hot)
         pairs = [i for i, m in enumerate(cols["e"]) if m == b"p"]
         a = np.concatenate([a, np.frombuffer(b"".join(cols["c"][i] for i in pairs), np.int64)])
         b = np.concatenate([b, np.frombuffer(b"".join(cols["d"][i] for i in pairs), np.int64)])

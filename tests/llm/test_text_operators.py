@@ -82,6 +82,16 @@ def test_signatures_meet_for_every_linked_pair():
         assert set(sig[who == 0].tolist()) & set(sig[who == 1].tolist()), n
 
 
+def test_a_group_hot_in_one_batch_meets_its_few_members_of_another(spark):
+    shared = " ".join(f"t{i}" for i in range(17))
+    hot = [(i, f"{shared} a{i} b{i} c{i}") for i in range(1, 200)] + [(200, f"{shared} d")]
+    first, second = (spark.createDataFrame(rows, "doc_id long, text string") for rows in (hot, [(201, f"{shared} e")]))
+    both = first.coalesce(1).unionByName(second)
+    assert both.groupBy(F.spark_partition_id()).count().count() == 2
+    found = {r["_id"]: r["component"] for r in shingle_join.classes(both).collect()}
+    assert found == {i: 200 if i == 201 else i for i in range(1, 202)}  # 200 and 201 share 13 shingles of 15
+
+
 def naive_dedup(rows):
     seen, out = set(), {}
     for i, t in sorted(rows, key=lambda r: r[0]):
