@@ -1,11 +1,14 @@
 """Bill items against layers: candidates by measure kind, a score of shared words, ranks, status.
 
 The layer side is one row for each layer of a drawing set.  It is broadcast only if it has at most BROADCAST_LAYERS rows;
-beyond that, items and layers meet on shared expanded words, which is exact for every pair with a score above 0.
+beyond that, items and layers meet on shared expanded words, and each item meets the first eligible layers by name, which
+are all that can rank among its MOST best, or next to them, without a shared word.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,10 +16,11 @@ from mensura.functions import text as T
 from mensura.functions import units as U
 from mensura.operators.takeoff import quantity
 
-BROADCAST_LAYERS = 20_000
+BROADCAST_LAYERS, MOST = 20_000, 5
 #: Names of layers that collect anything, and what a match with them costs.
 GENERIC_LAYERS = ["0", "dimen", "g-dim", "defpoints", "fa_color 12", "fa_color 13", "fa_color 14", "fa_color 15", "mb-elev 2", "mb-elev 4", "mb-elev 0", "i-ele-alumbrado"]
 GENERIC_PENALTY, TRADE_PENALTY, ABSURD_AREA, ABSURD_PENALTY = 0.7, 0.5, 5000.0, 0.3
+MEASURED = ("area", "length", "count")
 
 
 def prepare_items(bill: DataFrame) -> DataFrame:
@@ -47,12 +51,16 @@ def eligible(kind: Column) -> Column:
 
 
 def pairs(items: DataFrame, layers: DataFrame) -> DataFrame:
-    """Eligible (item, layer) pairs."""
+    """Eligible (item, layer) pairs: all, or with many layers those among which are the MOST + 1 best of each item."""
     n = layers.count()
     if n <= BROADCAST_LAYERS:
         return items.join(F.broadcast(layers), eligible(F.col("kind")))
-    words = items.select("row_index", F.explode("ea").alias("w")).join(layers.select("layer", F.explode("eb").alias("w")), "w").select("row_index", "layer").distinct()
-    return items.join(words, "row_index").join(layers, "layer").where(eligible(F.col("kind")))
+    words = items.select("row_index", F.explode("ea").alias("w")).join(layers.select("layer", F.explode("eb").alias("w")), "w").select("row_index", "layer")
+    # A pair without a shared word scores 0, so the MOST + 1 first eligible layers by name rank before any other such pair.
+    group = F.when(F.col("kind").isin(*MEASURED), F.col("kind")).otherwise("").alias("group")
+    first = [layers.where(eligible(F.lit(k))).orderBy("layer").limit(MOST + 1).select(F.lit(k).alias("group"), "layer") for k in (*MEASURED, "")]
+    blank = items.select("row_index", group).join(F.broadcast(reduce(DataFrame.unionByName, first)), "group").select("row_index", "layer")
+    return items.join(words.unionByName(blank).distinct(), "row_index").join(layers, "layer").where(eligible(F.col("kind")))
 
 
 def scored(pairs_: DataFrame) -> DataFrame:
@@ -67,7 +75,7 @@ def scored(pairs_: DataFrame) -> DataFrame:
     return out.withColumn("score", F.round(s, 9))
 
 
-def top(scored_: DataFrame, most: int = 5) -> DataFrame:
+def top(scored_: DataFrame, most: int = MOST) -> DataFrame:
     """The best layers of each item with their rank and the lead over the next one."""
     w = Window.partitionBy("row_index").orderBy(F.desc("score"), "layer")
     out = scored_.withColumn("rank", F.row_number().over(w)).withColumn("next_score", F.lead("score").over(w))

@@ -155,3 +155,17 @@ def test_narrowed_rank(spark):
     assert few.count() <= 50 and sorted(r["v"] for r in few.collect())[rank] == sorted(v for (v,) in rows)[1500]
     same = spark.createDataFrame([(1.0,)] * 60, "v double")
     assert K.narrowed(same, 30, most=50)[1] == 30
+
+
+def test_matches_do_not_depend_on_the_number_of_layers(spark, monkeypatch):
+    from mensura.operators import matching as M
+
+    bill = spark.createDataFrame([(1, "tabique divisorio recto", "m2"), (2, "zzz qqq vvv", "m2"), (3, "cable electrico", "m"), (4, "puerta madera", "un"), (5, "hormigon pilar", "m3"), (6, "nada comun", "m")], "row_index int, description string, unit string")
+    rows = [(f"layer {i:02}", *x) for i, x in enumerate([(True, 5.0, False, 0.0, 0), (True, 0.0, True, 3.0, 2), (False, 0.0, True, 7.0, 1)] * 6)] + [("a-muro_tabique", True, 9.0, False, 0.0, 4), ("e-cable", False, 0.0, True, 8.0, 0), ("zz tabique", True, 1.0, True, 1.0, 1)]
+    index = spark.createDataFrame(rows, "layer string, has_area boolean, total_area double, has_length boolean, total_length double, entity_count int")
+    columns = ["row_index", "layer", "score", "rank", "next_score"]
+    best = lambda: sorted(map(tuple, M.top(M.scored(M.pairs(M.prepare_items(bill), M.prepare_layers(index)))).select(*columns).collect()))
+    states = lambda: sorted(map(tuple, M.match(bill, index).collect()), key=str)
+    want = best(), states()
+    monkeypatch.setattr(M, "BROADCAST_LAYERS", 3)
+    assert (best(), states()) == want
