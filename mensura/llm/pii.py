@@ -1,16 +1,15 @@
 """Information-theoretic sanitisation of personal data.
 
-Protected entities are the e-mail addresses, IP addresses, card numbers and phone numbers that patterns find.  A word near
-an entity discloses it as far as the corpus says so: with counts over distinct contexts, the share of the entity's
-information that the word gives away is pmi(word; entity) / information(entity), where
-pmi = log(n(word, entity) * N / (n(word) * n(entity))) and information = -log(n(entity) / N).  Here n(entity) is its number
-of distinct contexts, n(word, entity) the number of those with the word, n(word) how often the word occurs in the corpus
-and N how many words the corpus has.  A word whose share reaches DISCLOSURE, seen with the entity in at least SUPPORT
-distinct contexts, is removed where it stands near it; from GENERALISE to DISCLOSURE it is generalised.  A context is the
-WINDOW words on either side, and equal contexts (copies of a text) count once.
-
-Counts cover all documents.  Word counts leave each Python batch already summed, and only words that stand near an entity
-SUPPORT times need one; whole texts are never exchanged for the spans.
+Protected entities are the e-mail addresses, IP addresses, card numbers and phone numbers that patterns find.  A word of a
+text with an entity discloses it as far as the corpus says so: the share of the entity's information that the word gives
+away is pmi(word; entity) / information(entity), where pmi = log(n(word, entity) * N / (n(word) * n(entity))) and
+information = -log(n(entity) / N).  All counts are numbers of different texts: n(entity) of those with the entity, n(word) of
+those with the word (e-mail addresses are no words), n(word, entity) of those with both, N of all.  A word whose share
+reaches DISCLOSURE, seen with the entity in at least SUPPORT texts, is removed wherever it stands in a text with the
+entity; from GENERALISE to DISCLOSURE it is generalised.  An entity that all texts have has no information to give away.
+
+Counts cover all documents.  Pairs and words leave each Python batch already summed; only entities of SUPPORT texts have
+pairs.  Texts are exchanged only where they have such an entity or may be copies.
 
 Defined cases: a null text is empty; repeated rows are treated each; a null doc_id stays null; a text of any length is read
 whole; other columns are kept by sanitise(); an empty table gives no row.
@@ -23,10 +22,10 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mensura.llm.common import NO_ID, checkpoint, rows_with_key, split, tune
+from mensura.llm.common import NO_ID, checkpoint, possible, rows_with_key, split, tune
 
 KINDS = ("email", "ip", "card", "phone")
-WINDOW, SUPPORT, GENERALISE, DISCLOSURE = 4, 3, 0.6, 0.8
+SUPPORT, GENERALISE, DISCLOSURE = 3, 0.6, 0.8
 #: The patterns.  An e-mail address is looked for from its @; digits start where no digit stands before.
 AT = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -77,83 +76,142 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def near(text: str, spans: list[tuple[int, int, int]], window: int = WINDOW):
-    """Of each base span: its entity, a hash of its context, and (word, start, end) of the words nearby."""
-    import xxhash
+def entity(text: str, s: int, kind: int, e: int) -> str:
+    value = text[s:e].lower() if kind == 0 else re.sub(r"[^0-9.]" if kind == 1 else r"[^0-9]", "", text[s:e])
+    return f"{KINDS[kind]}:{value}"
+
 
-    parts, at = [], 0
-    for s, _, e in spans:  # base spans are no words
-        if e > at:
-            parts += [text[at : max(s, at)], " " * (e - max(s, at))]
+def words(text: str):
+    """Matches of the words of a text; base spans are no words, and of these only e-mail addresses have letters."""
+    if "@" in text:
+        parts, at = [], 0
+        for s, e in emails(text):
+            parts += [text[at:s], " " * (e - s)]
             at = e
-    plain = "".join([*parts, text[at:]])
-    for s, kind, e in spans:
-        low, high = max(0, s - 40 * window), e + 40 * window
-        before = [m for m in WORD.finditer(plain, low, s) if m.start() > low or low == 0]
-        after = [m for m in WORD.finditer(plain, e, high) if m.end() < high]
-        words = [(m[0].lower(), m.start(), m.end()) for m in before[-window:] + after[:window]]
-        value = text[s:e].lower() if kind == 0 else re.sub(r"[^0-9.]" if kind == 1 else r"[^0-9]", "", text[s:e])
-        yield f"{KINDS[kind]}:{value}", xxhash.xxh64_intdigest("\x00".join(w[0] for w in words)) - (1 << 63), words
+        text = "".join([*parts, text[at:]])
+    return WORD.finditer(text)
 
 
 def _find(batches):
     import pyarrow as pa
 
-    entry = pa.list_(pa.struct([("entity", pa.string()), ("context", pa.int64()), ("word", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
     span = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]))
     for batch in batches:
-        spans, entries = [], []
+        spans, entities = [], []
         for text in batch.column(2).to_pylist():
             found = base_spans(text) if text else []
             spans.append([{"start": s, "kind": k, "end": e} for s, k, e in found])
-            entries.append([{"entity": n, "context": c, "word": w, "start": s, "end": e} for n, c, words in near(text, found) for w, s, e in words] if found else [])
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, span), pa.array(entries, entry)], ["_id", "_th", "base", "near"])
+            entities.append(sorted({entity(text, *x) for x in found}))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, span), pa.array(entities, pa.list_(pa.string()))], ["_id", "_th", "base", "entities"])
 
 
 def _count(batches):
-    """Sums of the words so far, given out when they are many; their total stands under the empty word."""
+    """In how many texts each word is, given out when they are many; the number of texts stands under the empty word."""
+    from collections import Counter
+
+    import pyarrow as pa
+
+    out = lambda c: pa.RecordBatch.from_arrays([pa.array(c.keys(), pa.string()), pa.array(c.values(), pa.int64())], ["word", "n"])
+    total: Counter = Counter()
+    for batch in batches:
+        for text in batch.column(0).to_pylist():
+            total.update({m[0].lower() for m in words(text or "")} | {""})
+            if len(total) > 300_000:
+                yield out(total)
+                total = Counter()
+    yield out(total)
+
+
+def _pairs(batches):
+    """In how many texts each word is together with each of the entities, given out when they are many."""
     from collections import Counter
 
     import pyarrow as pa
 
     def out(c):
-        c[""] = sum(c.values())
-        return pa.RecordBatch.from_arrays([pa.array(c.keys(), pa.string()), pa.array(c.values(), pa.int64())], ["word", "n"])
+        cols = list(zip(*c, strict=True)) if c else [[], []]
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(c.values(), pa.int64())], ["entity", "word", "n"])
 
     total: Counter = Counter()
     for batch in batches:
-        for text in batch.column(0).to_pylist():
-            if text:
-                total.update(WORD.findall(text.lower()))
-        if len(total) > 300_000:
-            yield out(total)
-            total = Counter()
+        for text, entities in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            own = {m[0].lower() for m in words(text)}
+            for n in entities:
+                total.update((n, w) for w in own)
+                if len(total) > 100_000:
+                    yield out(total)
+                    total = Counter()
     yield out(total)
 
 
-FOUND = "_id long, _th long, base array<struct<start:long,kind:int,end:long>>, near array<struct<entity:string,context:long,word:string,start:long,end:long>>"
+def _places(batches):
+    """A row for each entity and word of a text, with a hash of both and all places of the word."""
+    import pyarrow as pa
+
+    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    types = (pa.int64(), pa.int64(), pa.string(), pa.string(), span)
+
+    def out(rows):
+        cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["d", "h", "entity", "word", "at"])
+
+    for batch in batches:
+        rows = []
+        for d, h, text, entities in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            own: dict = {}
+            for m in words(text):
+                own.setdefault(m[0].lower(), []).append({"start": m.start(), "end": m.end()})
+            for n in entities:
+                for w, at in own.items():
+                    rows.append((d, h, n, w, at))
+                    if len(rows) >= 20_000:
+                        yield out(rows)
+                        rows = []
+        yield out(rows)
+
+
+FOUND = "_id long, _th long, base array<struct<start:long,kind:int,end:long>>, entities array<string>"
 TERMS = "array<struct<start:long,end:long,kind:string>>"
 
 
+def _with_texts(texts: DataFrame, keys: DataFrame) -> DataFrame:
+    """keys with the text of each, once."""
+    own = possible(texts, keys).groupBy("_id", "_th").agg(F.first("text").alias("text"))
+    return own.join(keys, ["_id", "_th"])
+
+
 def find(docs: DataFrame) -> DataFrame:
     """(_id, _th, rows, base, terms): the spans of each different document, and how many rows have it."""
     tune(docs.sparkSession)
     text = F.col("text").cast("string").alias("text")
-    found = rows_with_key(docs, text).select("_id", "_th", "text").mapInArrow(_find, FOUND)
-    found = checkpoint(found.groupBy("_id", "_th").agg(F.count("*").alias("rows"), F.first("base").alias("base"), F.first("near").alias("near")))
-    seen = found.select("_id", "_th", F.inline("near"))
-    contexts = seen.select("entity", "word", "context").distinct()
-    pairs = checkpoint(contexts.groupBy("entity", "word").agg(F.count("*").alias("both")).where(F.col("both") >= SUPPORT))
+    texts = rows_with_key(docs, text).select("_id", "_th", "text")
+    found = texts.mapInArrow(_find, FOUND)
+    found = checkpoint(found.groupBy("_id", "_th").agg(F.count("*").alias("rows"), F.first("base").alias("base"), F.first("entities").alias("entities")))
+    none = found.select("_id", "_th", "rows", "base", F.array().cast(TERMS).alias("terms"))
+    seen = found.select("_id", "_th", F.explode("entities").alias("entity"))
+    entities = seen.select("entity", "_th").distinct().groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= SUPPORT)
+    entities = checkpoint(entities)
+    if entities.isEmpty():
+        return none
+    holders = checkpoint(seen.join(entities, "entity", "left_semi").groupBy("_id", "_th").agg(F.collect_list("entity").alias("entities")))
+    once = holders.groupBy("_th").agg(F.min("_id").alias("_id"), F.first("entities").alias("entities"))
+    pairs = _with_texts(texts, once).select("text", "entities").mapInArrow(_pairs, "entity string, word string, n long")
+    pairs = checkpoint(pairs.groupBy("entity", "word").agg(F.sum("n").alias("both")).where(F.col("both") >= SUPPORT))
     if pairs.isEmpty():
-        return found.select("_id", "_th", "rows", "base", F.array().cast(TERMS).alias("terms"))
+        return none
     wanted = pairs.select("word").distinct().union(pairs.sparkSession.range(1).select(F.lit("").alias("word")))
-    words = docs.select(text).mapInArrow(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n_word"))
-    words = checkpoint(words.join(wanted, "word", "left_semi"))
-    n = F.lit(float(words.where("word = ''").first()["n_word"]))
-    entities = seen.select("entity", "context").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
+    counted = texts.select("text").mapInArrow(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n_word"))
+    counted = checkpoint(counted.join(wanted, "word", "left_semi"))
+    n = F.lit(float(counted.where("word = ''").first()["n_word"]))
     share = F.log(F.col("both") * n / (F.col("n_word") * F.col("n_entity"))) / F.log(n / F.col("n_entity"))
-    strong = pairs.join(entities, "entity").join(words, "word").select("entity", "word", share.alias("share")).where(F.col("share") >= GENERALISE)
-    terms = seen.join(strong, ["entity", "word"]).groupBy("_id", "_th", "start", "end").agg(F.max("share").alias("share"))
+    told = pairs.join(entities.where(F.col("n_entity") < n), "entity").join(counted, "word")
+    strong = checkpoint(told.select("entity", "word", share.alias("share")).where(F.col("share") >= GENERALISE))
+    listed = holders.select("_id", "_th", F.explode("entities").alias("entity")).join(strong.select("entity").distinct(), "entity", "left_semi")
+    listed = checkpoint(listed.groupBy("_id", "_th").agg(F.collect_list("entity").alias("entities")))
+    places = _with_texts(texts, listed).select("_id", "_th", "text", "entities").mapInArrow(_places, "d long, h long, entity string, word string, at array<struct<start:long,end:long>>")
+    hashes = [F.xxhash64("entity").alias("_id"), F.xxhash64("word").alias("_th")]
+    places = possible(places.select("*", *hashes), strong.select(*hashes)).drop("_id", "_th").join(strong, ["entity", "word"])
+    terms = places.select(F.col("d").alias("_id"), F.col("h").alias("_th"), F.inline("at"), "share").groupBy("_id", "_th", "start", "end").agg(F.max("share").alias("share"))
     kind = F.when(F.col("share") >= DISCLOSURE, "term").otherwise("general").alias("kind")
     terms = terms.groupBy("_id", "_th").agg(F.sort_array(F.collect_list(F.struct("start", "end", kind))).alias("terms"))
     return found.join(terms, ["_id", "_th"], "left").select("_id", "_th", "rows", "base", F.coalesce("terms", F.array().cast(TERMS)).alias("terms"))

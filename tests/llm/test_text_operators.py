@@ -163,6 +163,22 @@ def test_disclosing_words_go(spark):
     assert "[EMAIL]" in clean[0] and "Zorbulon" not in clean[0] and clean[7] == rows[7][1] and clean[70] is None
 
 
+def letters(n):
+    return "".join(chr(97 + int(c)) for c in str(n))
+
+
+@pytest.mark.parametrize("gap", ["one two three four five six", "| " * 200, "1" * 200, "q" * 200])
+def test_disclosing_words_go_wherever_they_stand_in_the_text(spark, gap):
+    rows = [(i, f"Zorbulon fill {gap} ann@mail.example.com. Later zorbulon{letters(i)} met ZORBULON", None) for i in range(5)]
+    rows += [(i, f"fill one two three four five six later met {gap} text{letters(i)}", None) for i in range(5, 60)] + [(70, "Zorbulon", None)]
+    found = {r["_id"]: r for r in pii.find(docs(spark, rows)).collect()}
+    for i in range(5):
+        assert [rows[i][1][t["start"] : t["end"]] for t in found[i]["terms"] if t["kind"] == "term"] == ["Zorbulon", "ZORBULON"]
+    assert all(not found[i]["terms"] for i in (*range(5, 60), 70))
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(docs(spark, rows)).collect()}
+    assert "ZORBULON" not in clean[0] and "[EMAIL]" in clean[0] and clean[70] == "Zorbulon"
+
+
 def test_mix_reaches_its_targets(spark, corpus):
     d = docs(spark, corpus)
     got = mixing.copies(d, group=16).collect()
