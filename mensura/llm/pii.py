@@ -200,7 +200,10 @@ def find(docs: DataFrame) -> DataFrame:
     if pairs.isEmpty():
         return none
     wanted = pairs.select("word").distinct().union(pairs.sparkSession.range(1).select(F.lit("").alias("word")))
-    counted = texts.select("text").mapInArrow(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n_word"))
+    many = found.groupBy("_th").agg(F.sum("rows").alias("n")).where("n > 1")
+    copies, alone = split(texts, found.select("_id", "_th").join(many, "_th", "left_semi"))
+    different = alone.select("text").unionByName(copies.groupBy("_th").agg(F.first("text").alias("text")).select("text"))
+    counted = different.mapInArrow(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n_word"))
     counted = checkpoint(counted.join(wanted, "word", "left_semi"))
     n = F.lit(float(counted.where("word = ''").first()["n_word"]))
     share = F.log(F.col("both") * n / (F.col("n_word") * F.col("n_entity"))) / F.log(n / F.col("n_entity"))

@@ -179,6 +179,14 @@ def test_disclosing_words_go_wherever_they_stand_in_the_text(spark, gap):
     assert "ZORBULON" not in clean[0] and "[EMAIL]" in clean[0] and clean[70] == "Zorbulon"
 
 
+def test_copies_do_not_hide_what_they_disclose(spark):
+    secret = [f"fill Zorbulon ann@mail.example.com {letters(k)}x fill" for k in range(3)]
+    rows = [(i, secret[i % 3], None) for i in range(1500)] + [(i, f"fill text {letters(i)}", None) for i in range(2000, 2060)]
+    found = {r["_id"]: r for r in pii.find(docs(spark, rows)).collect()}
+    for i in (0, 1, 1499):
+        assert [rows[i][1][t["start"] : t["end"]] for t in found[i]["terms"] if t["kind"] == "term"] == ["Zorbulon"]
+
+
 def test_mix_reaches_its_targets(spark, corpus):
     d = docs(spark, corpus)
     got = mixing.copies(d, group=16).collect()
