@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 import numpy as np
@@ -13,17 +14,29 @@ NO_ID = (1 << 63) - 1
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
-def tune(spark: SparkSession, rows: int = 1000) -> None:
-    """Bounds the rows and bytes of one Arrow batch, so that a Python worker's memory doesn't depend on the input."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def tune(spark: SparkSession) -> None:
+    """Bounds the rows and bytes of one Arrow batch, so that a Python worker's memory doesn't depend on the input.
+
+    All operators use the same bounds, so a plan that runs later than it was made has those that it was made for.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir.  A temporary one serves only a local session, whose executor is the driver."""
+    where = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
+    if not where:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        where = tempfile.mkdtemp(prefix="mensura-checkpoint-")
+        spark.sparkContext.setCheckpointDir(where)
+    return where
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts the lineage in the shared folder of spark.checkpoint.dir; a temporary folder serves only where none is set (local tests)."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", "") and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="mensura-checkpoint-"))
+    """Cuts the lineage in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -74,33 +87,28 @@ def powers(base: int, n: int) -> np.ndarray:
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node that each node of the undirected links reaches.
 
-    Alternates large-star and small-star steps (Kiveris et al. 2014), whose edge count doesn't grow; every round is
-    checkpointed in the shared folder.  Links and labels stay distributed; only a count of changes comes to the driver.
+    Alternates large-star and small-star steps (Kiveris et al. 2014), whose edge count doesn't grow; every round is written
+    to the shared folder and the one before deleted.  Links and labels stay distributed; only a count of changes comes to
+    the driver.
     """
-    edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-    edges = checkpoint(edges)
-    before = None
-    while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        edges = checkpoint(small)
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
-    labels = edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
-    return labels.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-
-
-def shared_folder(spark: SparkSession) -> str:
-    where = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
-    if not where:
-        where = tempfile.mkdtemp(prefix="mensura-checkpoint-")
-        spark.sparkContext.setCheckpointDir(where)
-    return where
+    with Tables(links.sparkSession) as table:
+        edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
+        edges, before, k = table(edges, "round0"), None, 0
+        while True:
+            both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+            large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+            down = large.groupBy("u").agg(F.min("v").alias("m"))
+            small = large.join(down, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+            k += 1
+            edges = table(small, f"round{k}")
+            table.drop(f"round{k - 1}")
+            now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+            if now == before:
+                break
+            before = now
+        labels = edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
+        return checkpoint(labels.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()))
 
 
 class Tables:
@@ -116,12 +124,15 @@ class Tables:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def drop(self, name: str = "") -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}" if name else self.base)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
     def __enter__(self) -> Tables:
         return self
 
     def __exit__(self, *_) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.base)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self.drop()
 
 
 def split(texts: DataFrame, keys: DataFrame, bits: int = 23) -> tuple[DataFrame, DataFrame]:

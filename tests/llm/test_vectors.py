@@ -39,11 +39,47 @@ def test_exact_search_is_brute_force(spark):
 
 def test_bounds_hold():
     rng = np.random.default_rng(2)
-    x, q = np.floor(rng.standard_normal((200, 16)) * 300), np.floor(rng.standard_normal((5, 16)) * 300)
-    code, middle, width = exact_search.approximate(x)
-    mids = code * width + middle
-    assert (np.abs(x - mids) <= (width - 1) / 2 + 1e-9).all()
-    assert (np.abs(q @ x.T - q @ mids.T) <= (np.abs(q) @ ((width - 1) / 2))[:, None] + 1e-6).all()
+    for size in (300.0, 2.0**40, 1e300):
+        x, q = np.floor(rng.standard_normal((200, 16)) * size), np.floor(rng.standard_normal((5, 16)) * size)
+        x[:, 3] = x[0, 3]
+        low, width, code = exact_search.approximate(x)
+        middle, reach = exact_search.bounds(q, low, width, code)
+        a, _ = exact_search.scaled(q)
+        assert code.dtype == np.uint8 and (np.abs(a @ x.T - middle) <= reach).all()
+        assert reach.max() < 0.1 * np.abs(middle).max()
+
+
+def test_few_vectors_are_read_exactly(spark):
+    data = rows(2000, 16, 9)
+    left = exact_search.approximated(exact_search.usable(table(spark, data)).withColumn("v", F.transform("v", lambda x: F.floor(x * 256).cast("double"))), 5)
+    queries = sum(i % 50 == 0 for i, _ in usable(data))
+    assert left.count() < 0.03 * queries * len(data)
+
+
+def test_repeated_rows_and_scores_beyond_64_bits(spark):
+    data = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (0, [0.0, 1.0]), (7, [3.0, 1.0]), (7, [3.0, 1.0]), (8, [2.0, 5.0]), (9, [1.0, 1.0])]
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in exact_search.search(table(spark, data), 3).collect())
+    one = [(0, k, i, s * 65536) for k, i, s in ((1, 7, 3), (2, 7, 3), (3, 8, 2))]
+    two = [(0, k, i, s * 65536) for k, i, s in ((1, 8, 5), (2, 7, 1), (3, 7, 1))]
+    assert got == sorted(one + two)
+    found = {}
+    for r in ann_search.search(table(spark, data), 3).collect():
+        found.setdefault(r["rank"], []).append(r["vec_id"])
+    assert {k: sorted(v) for k, v in found.items()} == {1: [7, 8], 2: [7, 9], 3: [7, 9]}
+    big = spark.createDataFrame([(0, [1e30, 0.0]), (1, [1e30, 1.0]), (2, [3e30, 1.0]), (3, [2e30, 1.0]), (4, [1e307, 1.0])], "vec_id long, embedding array<double>")
+    got = [(r["vec_id"], r["score"]) for r in exact_search.search(big, 3).orderBy("rank").collect()]
+    assert got == [(2, 2**63 - 1), (3, 2**63 - 1), (1, 2**63 - 1)]
+
+
+def test_copies_beyond_need_are_left_out():
+    rng = np.random.default_rng(5)
+    x, ids = rng.integers(0, 3, (400, 2)).astype(float), np.sort(rng.integers(0, 60, 400))
+    at = exact_search.needed(ids, x, 3)
+    assert len(at) < 60 and (np.diff(ids[at]) >= 0).all()
+    for own in range(60):
+        for q in rng.standard_normal((3, 2)):
+            rank = lambda rows_: sorted((-(x[i] @ q), ids[i]) for i in rows_ if ids[i] != own)[:3]
+            assert rank(range(400)) == rank(at)
 
 
 def test_large_numbers_stay_exact(spark):
@@ -74,6 +110,40 @@ def test_approximate_search(spark):
     assert 5450 not in got and 5400 not in got
 
 
+def clusters(n, dim, groups, seed=6):
+    rng = np.random.default_rng(seed)
+    x = rng.standard_normal((groups, dim))[rng.integers(0, groups, n)] + 0.15 * rng.standard_normal((n, dim))
+    return x.astype(np.float32).astype(float)
+
+
+def recall(x, found, k=5):
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    by = {}
+    for r in found:
+        by.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hit = 0
+    for i in range(0, len(x), 50):
+        s = u @ u[i]
+        s[i] = -9
+        hit += len(set(np.argsort(-s, kind="stable")[:k].tolist()) & by[i])
+    return hit / (k * len(range(0, len(x), 50)))
+
+
+def test_clustered_vectors_need_a_small_share(spark):
+    x, seen = clusters(6000, 24, 40), []
+    found = ann_search.search(table(spark, [(i, v.tolist()) for i, v in enumerate(x)]), scanned=seen).collect()
+    assert recall(x, found) >= 0.9 and seen[0][0] <= 0.1 * seen[0][1]
+
+
+def test_parts_are_cut_again_in_large_tables(spark):
+    x, seen = clusters(8000, 12, 200), []
+    rows_ = table(spark, [(i, v.tolist()) for i, v in enumerate(x)])
+    index = ann_search.build(ann_search.usable(rows_), 8000, 8, 500)[12]
+    assert len(index.inner) == 8 and index.width > 4
+    found = ann_search.search(rows_, scanned=seen, top=8, block=500).collect()
+    assert recall(x, found) >= 0.9 and seen[0][0] <= 0.15 * seen[0][1]
+
+
 def test_parts_are_balanced():
     x = ann_search.unit(np.random.default_rng(3).standard_normal((1000, 12)))
     part = ann_search.balanced_parts(ann_search.neighbour_graph(x), 8)
