@@ -26,6 +26,9 @@ from pyspark.sql import functions as F
 from mensura.llm.common import NO_ID, checkpoint, rows_with_key, tune
 
 WEIGHTS, SHARE, MOST, GROUP = (3.0, 1.0, 2.0), 1.5, 2.0, 8192
+NEXT, OPEN, TRIES = 256, 16, 64
+#: Rates of at most so many sources are broadcast; beyond that, both sides are dealt by source and salt.
+SOURCES, SALTS = 100_000, 32
 
 
 def words(text: Column) -> Column:
@@ -41,8 +44,13 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     """
     from pyspark.sql import Window
 
-    rank = F.row_number().over(Window.orderBy(F.col("source").isNull(), F.col("source").cast("binary")))
-    table = sizes.withColumn("_w", F.get(F.array(*[F.lit(float(w)) for w in weights]), ((rank - 1) % len(weights)).cast("int")))
+    # The place of each source: sorted partitions, and how many come before each of them.
+    placed = checkpoint(sizes.orderBy(F.col("source").isNull(), F.col("source").cast("binary")).withColumn("_part", F.spark_partition_id()))
+    counts = {r["_part"]: r["count"] for r in placed.groupBy("_part").count().collect()}
+    before = F.create_map(*[F.lit(x) for k in sorted(counts) for x in (k, sum(n for p, n in counts.items() if p < k))]) if counts else F.create_map(F.lit(0), F.lit(0))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(F.col("source").isNull(), F.col("source").cast("binary")))
+    rank = inside - 1 + before[F.col("_part")]
+    table = placed.withColumn("_w", F.get(F.array(*[F.lit(float(w)) for w in weights]), (rank % len(weights)).cast("int"))).drop("_part")
     table = checkpoint(table.withColumn("_cap", F.lit(float(most)) * F.col("source_size")))
     total = table.agg(F.sum("source_size")).first()[0] or 0
     level, capped = None, F.lit(False)
@@ -88,44 +96,72 @@ def flight(p: np.ndarray, z: np.ndarray, rng: np.random.Generator) -> np.ndarray
     return np.array(p)
 
 
-def land(p: np.ndarray, z: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Rounds the last two or fewer probabilities: of all ways that keep them, the one that misses the sizes least on average."""
+def land(p: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Rounds the last probabilities in pairs, in a way that keeps each on average and the sum of each pair within one."""
     p = p.copy()
-    live = np.flatnonzero((p > 0) & (p < 1))
-    if len(live) == 1:
-        p[live] = float(rng.random() < p[live[0]])
-    elif len(live) == 2:
-        (a, b), (x, y) = z[live], p[live]
-        t = x * a + y * b
-        both = max(0.0, x + y - 1) if abs(a + b - t) + abs(t) > abs(a - t) + abs(b - t) else min(x, y)
-        r = rng.random()
-        first, second = (1, 1) if r < both else (1, 0) if r < x else (0, 1) if r < x + y - both else (0, 0)
-        p[live] = first, second
+    while len(live := np.flatnonzero((p > 0) & (p < 1))) > 1:
+        i, j = live[-2:]
+        x, y = p[i], p[j]
+        s = x + y  # what one of them gives the other takes, until one is 0 or 1
+        if s <= 1:
+            p[i], p[j] = (s, 0.0) if rng.random() * s < x else (0.0, s)
+        else:
+            p[i], p[j] = (1.0, s - 1) if rng.random() * (2 - s) < 1 - y else (s - 1, 1.0)
+    for i in live:
+        p[i] = float(rng.random() < p[i])
     return p
 
 
 def settle(p: np.ndarray, z: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     """Flight and landing of a source's last group, whose documents come in order of descending size.
 
-    A large document can stay open to the end, and rounding it would miss the target by its size.  So the larger half flies
-    and lands first; by how much that missed the words is taken from the probabilities of the rest, in proportion to their
-    room; then the larger half of the rest follows, and so on.  Misses are 0 on average, so probabilities hold on average.
+    In triples a large document stays open to the end, as its neighbours reach 0 or 1 before, and rounding it would miss the
+    words by its size.  So here each step moves the largest open document and all smaller ones against it, by the least
+    change (weighted by their room) that keeps both totals, until one of them is 0 or 1.  The last OPEN documents are the
+    landing problem: TRIES flights to the end and their roundings are drawn, and the one that misses the totals least is taken.  So the
+    flight keeps every probability on average, and the landing gives that up for at most OPEN documents of a source.
     """
-    p, live = p.copy(), np.flatnonzero((p > 1e-9) & (p < 1 - 1e-9))
-    while len(live):
-        n = (len(live) + 1) // 2 if len(live) > 4 else len(live)
-        own, live = live[:n], live[n:]
-        due = p[own] @ z[own]
-        p[own] = land(flight(p[own], z[own], rng), z[own], rng)
-        miss = p[own] @ z[own] - due
-        for _ in range(8):
-            room = p[live] * (1 - p[live]) * z[live]
-            if abs(miss) < 1e-9 or not (total := room @ z[live]) > 0:
-                break
-            new = np.clip(p[live] - miss * room / total, 0.0, 1.0)
-            miss += (new - p[live]) @ z[live]
-            p[live] = new
-    return np.round(p)
+    due = np.array([p.sum(), p @ z])
+    p, best = fly(p, z, rng, OPEN), None
+    for _ in range(TRIES if ((p > 0) & (p < 1)).any() else 1):
+        out = land(fly(p, z, rng, 2), rng)
+        cost = abs(out @ z - due[1]) + max(0.0, abs(out.sum() - due[0]) - 1) * z.max(initial=0.0)
+        if best is None or cost < best[0]:
+            best = cost, out
+    return best[1]
+
+
+def fly(p: np.ndarray, z: np.ndarray, rng: np.random.Generator, open_: int) -> np.ndarray:
+    """Moves the probabilities until at most so many are open, 2 at least.  A document has the NEXT smaller ones against it."""
+    p, before = np.where((p < 1e-9) | (p > 1 - 1e-9), np.round(p), p), None
+    unit = max(float(z.max(initial=1.0)), 1.0)
+    while True:
+        live = np.flatnonzero((p > 0) & (p < 1))
+        left = len(live)
+        if left <= open_ or left == before:
+            return p
+        before = left
+        while left > open_ and len(live) > 2:
+            first, rest = live[0], live[1 : 1 + NEXT]
+            room, size, own = p[rest] * (1 - p[rest]), z[rest] / unit, z[first] / unit
+            s0, s1, s2 = room.sum(), room @ size, (room * size) @ size
+            det = s0 * s2 - s1 * s1
+            x, y = ((s2 - s1 * own) / det, (s0 * own - s1) / det) if det > 1e-12 * s0 * s2 else (1 / s0, 0.0)
+            u = -room * (x + y * size)
+            if abs(u.sum() + 1) > 1e-9 or abs(u @ size + own) > 1e-9:  # these are of one size, and can't make up for this one
+                live = live[1:]
+                continue
+            u, own = np.append(1.0, u), live[: 1 + NEXT]
+            q = p[own]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                up = np.where(u > 0, (1 - q) / u, np.where(u < 0, -q / u, np.inf)).min()
+                down = np.where(u > 0, q / u, np.where(u < 0, (q - 1) / u, np.inf)).min()
+            q = q + (up if rng.random() * (up + down) < down else -down) * u
+            q = np.where(q < 1e-9, 0.0, np.where(q > 1 - 1e-9, 1.0, q))
+            p[own] = q
+            on = (q > 0) & (q < 1)
+            left -= len(own) - int(on.sum())
+            live = np.concatenate([own[on], live[1 + NEXT :]])
 
 
 def _flyer(last: bool):
@@ -147,11 +183,16 @@ def copies(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float =
     rows = checkpoint(rows)
     sizes = rows.groupBy("source").agg(F.sum(F.col("size") * F.col("count")).alias("source_size"), F.sum("count").alias("_docs"))
     sizes = checkpoint(sizes)
-    rates = targets(sizes.select("source", "source_size"), weights, share, most)
-    rates = rates.join(sizes.select(F.col("source").alias("_s"), "_docs"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    rates = rates.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)).withColumn("_src", F.xxhash64(F.coalesce(F.col("source"), F.lit("\x00null"))))
-    rows = rows.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("count").cast("int")))).drop("count").withColumnRenamed("source", "_s")
-    rows = rows.join(rates, F.col("_s").eqNullSafe(F.col("source"))).drop("_s")
+    mark = F.xxhash64(F.col("source").isNull(), F.col("source")).alias("_src")  # no name of a source means null
+    rates = targets(sizes.select("source", "source_size"), weights, share, most).withColumn("_src", mark)
+    rates = rates.join(sizes.select(mark, "_docs"), "_src")
+    rates = checkpoint(rates.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)))
+    rows = rows.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("count").cast("int")))).drop("count").withColumn("_src", mark).drop("source")
+    if rates.count() <= SOURCES:
+        rows = rows.join(F.broadcast(rates), "_src")
+    else:  # a source's rows go to SALTS tasks, its rate to each of them
+        salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+        rows = rows.withColumn("_salt", F.pmod(F.xxhash64("_id", "_th", "_n"), F.lit(SALTS)).cast("int")).join(rates.withColumn("_salt", salt), ["_src", "_salt"]).drop("_salt")
     rows = rows.withColumn("whole", F.floor("rate")).withColumn("p", F.col("rate") - F.floor("rate"))
     fields = "_id long, _th long, _n int, _src long, size long, grp long, p double"
     sent = rows.select("_id", "_th", "_n", "_src", "size", F.pmod(F.xxhash64("_id", "_th", "_n"), F.greatest(F.lit(1), F.ceil(F.col("_docs") / group))).alias("grp"), "p")
@@ -183,7 +224,7 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs, each as many times as the mix takes it."""
     from pyspark.sql import Window
 
-    source = lambda c: F.coalesce(c.cast("string"), F.lit("\x00null")).alias("_src")
+    source = lambda c: F.xxhash64(c.isNull(), c.cast("string")).alias("_src")
     taken = copies(docs, **options).groupBy("_id", "_th", source(F.col("source"))).agg(F.sum("copies").alias("_all"), F.count("*").alias("_rows"))
     joined = rows_with_key(docs, source(F.col("source"))).join(taken.where("_all > 0"), ["_id", "_th", "_src"])
     # Equal rows share what they take: each has the mean, and the first of them the rest.  The join has dealt them by these keys.

@@ -210,7 +210,11 @@ def test_water_filling(spark):
     sizes = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 1000), (None, 4)], "source string, source_size long")
     got = {r["source"]: round(r["target"], 6) for r in mixing.targets(sizes).collect()}
     rest = 1.5 * 2014 - 20 - 8
-    assert got == {"a": 20.0, "b": round(rest / 3, 6), "c": round(min(rest * 2 / 3, 2000.0), 6), None: 8.0} or abs(sum(got.values()) - 1.5 * 2014) < 1e-6
+    assert got == {"a": 20.0, "b": round(rest / 3, 6), "c": round(rest * 2 / 3, 6), None: 8.0}
+    many = spark.createDataFrame([(f"s{i:03}", 10 + i) for i in range(200)], "source string, source_size long").repartition(7)
+    got = [r["target"] for r in mixing.targets(many).orderBy("source").collect()]
+    level = [t / (3, 1, 2)[i % 3] for i, t in enumerate(got) if t < 2 * (10 + i) - 1e-6]
+    assert max(level) - min(level) < 1e-6 and abs(sum(got) - 1.5 * sum(10 + i for i in range(200))) < 1e-6
 
 
 def test_flight_keeps_totals():
@@ -218,7 +222,62 @@ def test_flight_keeps_totals():
     p, z = rng.random(500), np.sort(rng.integers(0, 900, 500).astype(float))[::-1]
     out = mixing.flight(p, z, rng)
     assert ((out > 0) & (out < 1)).sum() <= 2 and abs(out.sum() - p.sum()) < 1e-6 and abs(out @ z - p @ z) < 1e-3
-    assert set(np.unique(mixing.settle(p, z, rng))) <= {0.0, 1.0}
+
+
+def test_settled_groups_keep_documents_and_words():
+    rng = np.random.default_rng(8)
+    for n in (1, 2, 3, 7, 40, 500, 3000):
+        for _ in range(6):
+            z = np.sort(np.floor(np.exp(rng.normal(5, 1.4, n))).clip(1, 20_000))[::-1]
+            p = np.full(n, rng.random()) if rng.random() < 0.5 else rng.random(n)
+            out = mixing.settle(p, z, rng)
+            assert set(np.unique(out)) <= {0.0, 1.0}
+            assert abs(out.sum() - p.sum()) <= 2 and abs(out @ z - p @ z) <= z[0]
+            if n >= 500:
+                assert abs(out @ z - p @ z) <= 0.002 * (p @ z)
+    z = np.sort(np.exp(rng.normal(5, 1.4, 60)))[::-1]
+    mean = sum(mixing.fly(np.full(60, 0.3), z, rng, 2) for _ in range(400)) / 400
+    assert np.abs(mean - 0.3).max() < 0.12 and abs(mean.mean() - 0.3) < 1e-9
+
+
+def naive_targets(sizes, share=1.5, most=2.0):
+    order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    weight = {s: (3.0, 1.0, 2.0)[i % 3] for i, s in enumerate(order)}
+    left, open_, out = share * sum(sizes.values()), set(order), {}
+    while open_:
+        level = left / sum(weight[s] for s in open_)
+        full = {s for s in open_ if weight[s] * level > most * sizes[s]}
+        if not full:
+            return out | {s: weight[s] * level for s in open_}
+        for s in full:
+            out[s] = most * sizes[s]
+            left -= out[s]
+        open_ -= full
+    return out
+
+
+def test_registered_mixing_query_against_plain_python(spark):
+    d = "/root/testdata/sf0.01"
+    rows = [(r["doc_id"], r["source"], len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or ""))) for r in spark.read.parquet(f"{d}/documents.parquet").collect()]
+    sizes, count, largest = {}, {}, {}
+    for _, s, n in rows:
+        sizes[s], count[s], largest[s] = sizes.get(s, 0) + n, count.get(s, 0) + 1, max(largest.get(s, 0), n)
+    want = naive_targets(sizes)
+    got = mixing.op1_mixing(spark, d).collect()
+    assert sorted((r["doc_id"], r["source"], r["size"]) for r in got) == sorted(rows)
+    taken, docs_taken = {}, {}
+    for r in got:
+        s = r["source"]
+        assert r["source_size"] == sizes[s] and abs(r["target"] - want[s]) < 1e-6 * want[s] and 0 <= r["taken"] <= 2 * r["size"]
+        taken[s], docs_taken[s] = taken.get(s, 0) + r["taken"], docs_taken.get(s, 0) + (r["taken"] / r["size"] if r["size"] else want[s] / sizes[s])
+    for s in sizes:
+        assert abs(taken[s] - want[s]) <= max(0.4 * largest[s], 0.01 * want[s]), (s, taken[s], want[s])
+        assert abs(docs_taken[s] - count[s] * want[s] / sizes[s]) <= 2, s
+
+
+def test_a_source_may_have_the_name_of_the_null_marker(spark):
+    got = mixing.copies(docs(spark, [(1, "a b", "\x00null"), (2, "c d e", None), (3, "f", "null"), (4, "g", "")])).collect()
+    assert {(r["_id"], r["source"], r["source_size"]) for r in got} == {(1, "\x00null", 2), (2, None, 3), (3, "null", 1), (4, "", 1)}
 
 
 def test_packing_round_trip(spark, corpus):
