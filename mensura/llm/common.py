@@ -135,18 +135,25 @@ class Tables:
         self.drop()
 
 
+def bitmap(bits_set: DataFrame, bits: int = 23) -> np.ndarray:
+    """2 ** bits bits, 1 MB, of which those in the column b (from 0) are set."""
+    at = (F.col("b") + 1).alias("b")
+    found = bits_set.select(at).groupBy(F.bitmap_bucket_number("b").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("m")).collect()
+    table = np.zeros((1 << bits >> 15, 4096), np.uint8)
+    for r in found:
+        table[r["k"] - 1] = np.frombuffer(bytes(r["m"]), np.uint8)
+    return table.reshape(-1)
+
+
 def split(texts: DataFrame, keys: DataFrame, bits: int = 23) -> tuple[DataFrame, DataFrame]:
     """The rows of texts (with _id and _th) that may be among keys, and those that surely aren't.
 
-    A bitmap of 2 ** bits hashes, 1 MB, is broadcast.  Rows that it lets by too much cost time only, as a join follows; it
-    spares the others the way through an exchange.
+    A bitmap of hashes is broadcast.  Rows that it lets by too much cost time only, as a join follows; it spares the others
+    the way through an exchange.
     """
     bit = F.pmod(F.xxhash64("_id", "_th"), F.lit(1 << bits))
-    found = keys.select((bit + 1).alias("b")).groupBy(F.bitmap_bucket_number("b").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("m")).collect()
-    table = np.zeros((1 << bits >> 15, 4096), np.uint8)
-    for r in found:
-        table[r["k"] - 1] = np.frombuffer(bytes(r["m"]), np.uint8)
-    shared = texts.sparkSession.sparkContext.broadcast(table.reshape(-1))
+    table = bitmap(keys.select(bit.alias("b")), bits)
+    shared = texts.sparkSession.sparkContext.broadcast(table)
     names = texts.columns
 
     def keep(wanted):

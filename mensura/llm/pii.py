@@ -1,15 +1,18 @@
 """Information-theoretic sanitisation of personal data.
 
-Protected entities are the e-mail addresses, IP addresses, card numbers and phone numbers that patterns find.  A word of a
-text with an entity discloses it as far as the corpus says so: the share of the entity's information that the word gives
-away is pmi(word; entity) / information(entity), where pmi = log(n(word, entity) * N / (n(word) * n(entity))) and
+Protected entities are the e-mail addresses, IP addresses, card numbers and phone numbers that patterns find, on three
+levels: the value itself, its group (domain, network of 24 bits, issuer's six digits, four leading digits) and its kind.  A
+word of a text with an entity discloses it as far as the corpus says so: the share of the entity's information that the word
+gives away is pmi(word; entity) / information(entity), where pmi = log(n(word, entity) * N / (n(word) * n(entity))) and
 information = -log(n(entity) / N).  All counts are numbers of different texts: n(entity) of those with the entity, n(word) of
-those with the word (e-mail addresses are no words), n(word, entity) of those with both, N of all.  A word whose share
-reaches DISCLOSURE, seen with the entity in at least SUPPORT texts, is removed wherever it stands in a text with the
-entity; from GENERALISE to DISCLOSURE it is generalised.  An entity that all texts have has no information to give away.
+those with the word (e-mail addresses are no words), n(word, entity) of those with both, N of all.  Entities and pairs count
+from SUPPORT texts.  A word whose share reaches DISCLOSURE is removed wherever it stands in a text with the entity.  From
+GENERALISE to DISCLOSURE it is generalised to the class of all words with its first STEM letters, if that class, measured in
+the same way, stays below GENERALISE; else it is removed, too.  An entity that all texts have has no information to give away.
 
 Counts cover all documents.  Pairs and words leave each Python batch already summed; only entities of SUPPORT texts have
-pairs.  Texts are exchanged only where they have such an entity or may be copies.
+pairs.  Texts are exchanged only where they have such an entity or may be copies.  Of the places of words only those leave a
+batch whose pair may be a disclosing one, by a bitmap of these.
 
 Defined cases: a null text is empty; repeated rows are treated each; a null doc_id stays null; a text of any length is read
 whole; other columns are kept by sanitise(); an empty table gives no row.
@@ -22,10 +25,10 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mensura.llm.common import NO_ID, checkpoint, possible, rows_with_key, split, tune
+from mensura.llm.common import NO_ID, bitmap, checkpoint, possible, rows_with_key, split, tune
 
 KINDS = ("email", "ip", "card", "phone")
-SUPPORT, GENERALISE, DISCLOSURE = 3, 0.6, 0.8
+SUPPORT, GENERALISE, DISCLOSURE, STEM, BITS = 3, 0.6, 0.8, 3, 23
 #: The patterns.  An e-mail address is looked for from its @; digits start where no digit stands before.
 AT = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -76,9 +79,19 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def entity(text: str, s: int, kind: int, e: int) -> str:
-    value = text[s:e].lower() if kind == 0 else re.sub(r"[^0-9.]" if kind == 1 else r"[^0-9]", "", text[s:e])
-    return f"{KINDS[kind]}:{value}"
+def entities_of(text: str, s: int, kind: int, e: int) -> list[str]:
+    """The value of a base span, its group and its kind."""
+    name = KINDS[kind]
+    if kind == 0:
+        value = text[s:e].lower()
+        group = value[value.index("@") :]
+    elif kind == 1:
+        value = ".".join(p.lstrip("0") or "0" for p in text[s:e].split("."))
+        group = value.rpartition(".")[0] + "."
+    else:
+        value = re.sub(r"[^0-9]", "", text[s:e])
+        group = f"{value[: 6 if kind == 2 else 4]}*"
+    return [name, f"{name}:{group}", f"{name}:{value}"]
 
 
 def words(text: str):
@@ -92,6 +105,16 @@ def words(text: str):
     return WORD.finditer(text)
 
 
+def stem(word: str) -> str:
+    """The class of a word; no word has a star."""
+    return f"{word[:STEM]}*"
+
+
+def with_classes(text: str) -> set[str]:
+    own = {m[0].lower() for m in words(text)}
+    return own | {stem(w) for w in own}
+
+
 def _find(batches):
     import pyarrow as pa
 
@@ -101,7 +124,7 @@ def _find(batches):
         for text in batch.column(2).to_pylist():
             found = base_spans(text) if text else []
             spans.append([{"start": s, "kind": k, "end": e} for s, k, e in found])
-            entities.append(sorted({entity(text, *x) for x in found}))
+            entities.append(sorted({n for x in found for n in entities_of(text, *x)}))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, span), pa.array(entities, pa.list_(pa.string()))], ["_id", "_th", "base", "entities"])
 
 
@@ -115,7 +138,7 @@ def _count(batches):
     total: Counter = Counter()
     for batch in batches:
         for text in batch.column(0).to_pylist():
-            total.update({m[0].lower() for m in words(text or "")} | {""})
+            total.update(with_classes(text or "") | {""})
             if len(total) > 300_000:
                 yield out(total)
                 total = Counter()
@@ -135,7 +158,7 @@ def _pairs(batches):
     total: Counter = Counter()
     for batch in batches:
         for text, entities in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            own = {m[0].lower() for m in words(text)}
+            own = with_classes(text)
             for n in entities:
                 total.update((n, w) for w in own)
                 if len(total) > 100_000:
@@ -144,9 +167,12 @@ def _pairs(batches):
     yield out(total)
 
 
-def _places(batches):
-    """A row for each entity and word of a text, with a hash of both and all places of the word."""
+def _places(batches, shared):
+    """A row for each entity and word of a text that may be a disclosing pair, with all places of the word."""
     import pyarrow as pa
+    from xxhash import xxh64_intdigest
+
+    table, mask = shared.value, (1 << BITS) - 1
 
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     types = (pa.int64(), pa.int64(), pa.string(), pa.string(), span)
@@ -163,7 +189,9 @@ def _places(batches):
                 own.setdefault(m[0].lower(), []).append({"start": m.start(), "end": m.end()})
             for n in entities:
                 for w, at in own.items():
-                    rows.append((d, h, n, w, at))
+                    bit = xxh64_intdigest(f"{n}\0{w}".encode(), 42) & mask  # Spark's xxhash64 of that string
+                    if table[bit >> 3] >> (bit & 7) & 1:
+                        rows.append((d, h, n, w, at))
                     if len(rows) >= 20_000:
                         yield out(rows)
                         rows = []
@@ -208,15 +236,19 @@ def find(docs: DataFrame) -> DataFrame:
     n = F.lit(float(counted.where("word = ''").first()["n_word"]))
     share = F.log(F.col("both") * n / (F.col("n_word") * F.col("n_entity"))) / F.log(n / F.col("n_entity"))
     told = pairs.join(entities.where(F.col("n_entity") < n), "entity").join(counted, "word")
-    strong = checkpoint(told.select("entity", "word", share.alias("share")).where(F.col("share") >= GENERALISE))
+    told = checkpoint(told.select("entity", "word", share.alias("share")))
+    classes = told.where(F.col("word").endswith("*")).select("entity", F.col("word").alias("class"), F.col("share").alias("class_share"))
+    strong = told.where(~F.col("word").endswith("*") & (F.col("share") >= GENERALISE)).withColumn("class", F.concat(F.substring("word", 1, STEM), F.lit("*")))
+    kind = F.when((F.col("share") >= DISCLOSURE) | (F.col("class_share") >= GENERALISE), "term").otherwise("general")
+    strong = checkpoint(strong.join(classes, ["entity", "class"]).select("entity", "word", kind.alias("kind")))
     listed = holders.select("_id", "_th", F.explode("entities").alias("entity")).join(strong.select("entity").distinct(), "entity", "left_semi")
     listed = checkpoint(listed.groupBy("_id", "_th").agg(F.collect_list("entity").alias("entities")))
-    places = _with_texts(texts, listed).select("_id", "_th", "text", "entities").mapInArrow(_places, "d long, h long, entity string, word string, at array<struct<start:long,end:long>>")
-    hashes = [F.xxhash64("entity").alias("_id"), F.xxhash64("word").alias("_th")]
-    places = possible(places.select("*", *hashes), strong.select(*hashes)).drop("_id", "_th").join(strong, ["entity", "word"])
-    terms = places.select(F.col("d").alias("_id"), F.col("h").alias("_th"), F.inline("at"), "share").groupBy("_id", "_th", "start", "end").agg(F.max("share").alias("share"))
-    kind = F.when(F.col("share") >= DISCLOSURE, "term").otherwise("general").alias("kind")
-    terms = terms.groupBy("_id", "_th").agg(F.sort_array(F.collect_list(F.struct("start", "end", kind))).alias("terms"))
+    pair = F.xxhash64(F.concat("entity", F.lit("\0"), "word"))
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(strong.select(F.pmod(pair, F.lit(1 << BITS)).alias("b")), BITS))
+    places = _with_texts(texts, listed).select("_id", "_th", "text", "entities").mapInArrow(lambda it: _places(it, shared), "d long, h long, entity string, word string, at array<struct<start:long,end:long>>")
+    places = places.join(strong, ["entity", "word"])
+    terms = places.select(F.col("d").alias("_id"), F.col("h").alias("_th"), F.inline("at"), "kind").groupBy("_id", "_th", "start", "end").agg(F.max("kind").alias("kind"))  # term is after general
+    terms = terms.groupBy("_id", "_th").agg(F.sort_array(F.collect_list(F.struct("start", "end", "kind"))).alias("terms"))
     return found.join(terms, ["_id", "_th"], "left").select("_id", "_th", "rows", "base", F.coalesce("terms", F.array().cast(TERMS)).alias("terms"))
 
 
@@ -227,7 +259,7 @@ def _replace(batches):
     for batch in batches:
         out = []
         for text, base, terms in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
-            spans = sorted([(b["start"], b["end"], names[b["kind"]]) for b in base or ()] + [(t["start"], t["end"], "" if t["kind"] == "term" else "[TERM]") for t in terms or ()])
+            spans = sorted([(b["start"], b["end"], names[b["kind"]]) for b in base or ()] + [(t["start"], t["end"], "" if t["kind"] == "term" else stem(text[t["start"] : t["end"]])) for t in terms or ()])
             parts, at = [], 0
             for s, e, mark in spans:
                 if s >= at:
@@ -238,7 +270,9 @@ def _replace(batches):
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
-    """The rows of docs with sanitised texts: base spans become [EMAIL] and so on, disclosing words go or become [TERM].
+    """The rows of docs with sanitised texts: base spans become [EMAIL] and so on, disclosing words go or become their class, as in Bar*.
+
+    A null text stays null, repeated rows stay, other columns are kept whatever their names; an empty table gives no row.
 
     Only documents that may have a span go through an exchange.
     """

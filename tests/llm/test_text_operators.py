@@ -179,6 +179,73 @@ def test_disclosing_words_go_wherever_they_stand_in_the_text(spark, gap):
     assert "ZORBULON" not in clean[0] and "[EMAIL]" in clean[0] and clean[70] == "Zorbulon"
 
 
+def naive_pii(rows):
+    """The op2 columns of (doc_id, text) rows, by plain loops over all texts, entities and words."""
+    texts = sorted({t or "" for _, t in rows})
+    own, having, counts, both = {}, {}, {}, {}
+    for t in texts:
+        base = naive_spans(t)
+        plain = re.sub(KINDS["email"], lambda m: " " * len(m[0]), t)
+        own[t] = [(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"[^\W\d_]{2,}", plain)]
+        having[t] = {n for s, k, e in base for n in pii.entities_of(t, s, k, e)}
+        w = {x[2] for x in own[t]}
+        for x in w | {f"{x[:3]}*" for x in w}:
+            counts[x] = counts.get(x, 0) + 1
+            for n in having[t]:
+                both[n, x] = both.get((n, x), 0) + 1
+    entities = {}
+    for t in texts:
+        for n in having[t]:
+            entities[n] = entities.get(n, 0) + 1
+
+    def share(n, x):
+        if both.get((n, x), 0) < 3 or entities[n] < 3 or entities[n] == len(texts):
+            return 0.0
+        return np.log(both[n, x] * len(texts) / (counts[x] * entities[n])) / np.log(len(texts) / entities[n])
+
+    out = []
+    for i, t in rows:
+        t = t or ""
+        base = naive_spans(t)
+        spans = [(s, k, f"{list(KINDS)[k]}:{s}:{e}") for s, k, e in base]
+        for s, e, w in own[t]:
+            kinds = ["term" if share(n, w) >= 0.8 or share(n, f"{w[:3]}*") >= 0.6 else "general" for n in having[t] if share(n, w) >= 0.6]
+            if kinds:
+                spans.append((s, 4, f"{max(kinds)}:{s}:{e}"))
+        listed = ",".join(f"{list(KINDS)[k]}:{s}:{e}" for s, k, e in base)
+        out.append((i, *(sum(x[1] == k for x in base) for k in range(4)), hashlib.sha256(listed.encode()).hexdigest(), ",".join(x[2] for x in sorted(spans))))
+    return out
+
+
+def test_registered_pii_query_is_the_brute_force_one(spark, tmp_path):
+    rng = random.Random(12)
+    vocabulary = ["".join(rng.choice("abcdeé") for _ in range(rng.randint(2, 7))) for _ in range(120)]
+    rows = []
+    for i in range(260):
+        w = [rng.choice(vocabulary[:100]) for _ in range(rng.randint(0, 30))]
+        if i % 9 == 0:
+            w.insert(rng.randint(0, len(w)), f"u{rng.randrange(4)}@m{rng.randrange(2)}.example.com")
+            w += [rng.choice(vocabulary[100:108])] * rng.randint(0, 2)
+        if i % 11 == 0:
+            w.insert(rng.randint(0, len(w)), f"10.1.{rng.randrange(2)}.{rng.randrange(3)}")
+            w += [rng.choice(vocabulary[106:114]).upper()]
+        w += ["Zorbulon"] * (i % 9 < 2) + ["zorro"] * (i % 2)
+        rows.append((i, " ".join(w)))
+    rows += [(400, None), (401, ""), (401, ""), (None, rows[9][1]), (402, rows[9][1]), (403, rows[18][1] + " +1 (504) 555-0292 4111 1111 1111 1111 " + "x" * 30_000)]
+    spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, spans int").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [tuple(r) for r in pii.op2_pii(spark, str(tmp_path)).collect()]
+    want = naive_pii(rows)
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert sum("term:" in r[6] for r in want) > 5 and sum("general:" in r[6] for r in want) > 2
+
+
+def test_a_class_takes_the_place_of_a_word(spark):
+    rows = [(i, f"Barcelona fill{letters(i)} ann@mail.example.com", None) for i in range(8)] + [(i, f"Barcelona text{letters(i)}", None) for i in range(8, 12)]
+    rows += [(i, f"baron text{letters(i)}", None) for i in range(12, 60)]
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(docs(spark, rows)).collect()}
+    assert clean[0] == "Bar* filla [EMAIL]" and clean[9] == rows[9][1] and clean[30] == rows[30][1]
+
+
 def test_copies_do_not_hide_what_they_disclose(spark):
     secret = [f"fill Zorbulon ann@mail.example.com {letters(k)}x fill" for k in range(3)]
     rows = [(i, secret[i % 3], None) for i in range(1500)] + [(i, f"fill text {letters(i)}", None) for i in range(2000, 2060)]
