@@ -1,6 +1,12 @@
 """Corpus pipeline: language identification, near duplicates, personal data, mixing, packing.
 
-Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before it kept.
+Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before it kept.  run() writes what a stage gives to
+the shared folder of spark.checkpoint.dir and reads it again, so no stage is computed twice and a lost executor costs only
+the stage at work.
+
+Defined cases, for every stage: a null text is empty (language identification rejects it, as it has no letter); a null in any other
+column stays; a null doc_id takes part as the largest; texts of any length are whole; a row that repeats is judged each, but one of
+it stays behind the near-duplicate stage; columns beyond those of documents stay, whatever their names; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -9,13 +15,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mensura.llm import language_id, mixing, packing, pii, shingle_join
+from mensura.llm.common import Tables, checkpoint
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose language can be told; what has no letter goes.  lang becomes the prediction where it is null."""
     model = language_id.train(docs.where(~language_id.is_held_out(F.col("doc_id"))))
-    found = language_id.identify(docs.select(F.struct(*docs.columns).alias("row"), "text"), model).where(F.col("lang_pred") != language_id.UND)
-    return found.select(*[F.coalesce("row.lang", "lang_pred").alias(c) if c == "lang" else F.col(f"row.{c}") for c in docs.columns])
+    found = language_id.identify(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text"), model).where(F.col("lang_pred") != language_id.UND)
+    return found.select(*[F.coalesce("row.lang", "lang_pred").alias(c) if c == "lang" else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,6 +58,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    with Tables(spark) as table:
+        for name, stage in STAGES[:-1]:
+            docs = table(stage(spark, docs, sf_dir), name)
+        return checkpoint(STAGES[-1][1](spark, docs, sf_dir))
