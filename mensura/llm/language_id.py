@@ -17,6 +17,7 @@ texts are judged whole, in pieces of the same recursion, and other columns are i
 from __future__ import annotations
 
 import re
+import sys
 import zlib
 from collections import Counter
 
@@ -27,7 +28,9 @@ from pyspark.sql import functions as F
 from mensura.llm.common import mix, resident, tune
 
 TRAIN_DOCS, BUCKETS, ORDER, SWITCH, SCRIPT_SHARE, UND = 3000, 1 << 15, 4, 8.0, 0.02, "und"
-WORD = re.compile(r"[^\W\d_]+")
+#: What counts as a word character but is neither a letter, a digit nor an underscore: numerals as in fractions or Roman ones.
+_NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+WORD = re.compile(rf"[^\W\d_{re.escape(_NUMERALS)}]+")
 #: Code-point ranges of scripts.
 SCRIPTS = [
     ("latin", 0x41, 0x24F), ("greek", 0x370, 0x3FF), ("cyrillic", 0x400, 0x52F), ("armenian", 0x530, 0x58F), ("hebrew", 0x590, 0x5FF),
@@ -119,7 +122,7 @@ def train(docs: DataFrame, per_language: int = TRAIN_DOCS) -> Model:
     sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}  # a row for each language
     share = F.coalesce(_share(sizes, per_language), F.lit(0.0))
     sample = rows.where((F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / float(1 << 20)) < share)
-    found = sample.select("lang", "text").repartition(6).mapInArrow(_count, "lang string, counts binary, letters string").collect() if sizes else []
+    found = sample.select("lang", "text").repartition(docs.sparkSession.sparkContext.defaultParallelism).mapInArrow(_count, "lang string, counts binary, letters string").collect() if sizes else []
     langs = sorted({r[0] for r in found})
     counts, letters = np.zeros((len(langs), BUCKETS)), [Counter() for _ in langs]
     for lang, c, own in found:
@@ -280,6 +283,49 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return docs.mapInArrow(lambda it: _predict(it, shared.value), schema)
 
 
+SPANS = "array<struct<start:int,end:int,lang:string>>"
+
+
+def _spans(batches, blob: bytes):
+    import pickle
+
+    import pyarrow as pa
+
+    labeller = resident(("labeller", len(blob), zlib.crc32(blob)), lambda: Labeller(pickle.loads(blob)))
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
+    for batch in batches:
+        texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+        sizes, labels, _ = labeller.spans(texts)
+        rows, at = [], 0
+        for text, n in zip(texts, sizes.tolist(), strict=True):
+            own, spans = labels[at : at + n].tolist(), []
+            at += n
+            for k, m in zip(own, WORD.finditer((text or "").lower()), strict=False):
+                lang = labeller.model.langs[k]
+                if spans and spans[-1]["lang"] == lang:
+                    spans[-1]["end"] = m.end()
+                else:
+                    spans.append({"start": m.start(), "end": m.end(), "lang": lang})
+            rows.append(spans)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, kind)], [*batch.schema.names, "spans"])
+
+
+def language_spans(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs with spans: the runs of words of one language, as code points of the lower-cased text, in order.
+
+    A text without a letter has none.  spans takes the place of a column so named.
+    """
+    import pickle
+
+    from pyspark.sql.types import StructType, _parse_datatype_string
+
+    docs = docs.select(*[F.col(f"`{c}`").cast("string") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c != "spans"])
+    tune(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
+    schema = StructType([*docs.schema.fields]).add("spans", _parse_datatype_string(SPANS))
+    return docs.mapInArrow(lambda it: _spans(it, shared.value), schema)
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = train(docs.where(~is_held_out(F.col("doc_id"))))

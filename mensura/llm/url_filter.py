@@ -88,9 +88,11 @@ def default_model() -> tuple[list[float], float]:
 
 
 def _grams(text: Column, base: int) -> Column:
-    at = lambda i: F.ascii(F.substr(text, i, F.lit(1)))
-    starts = F.when(F.length(text) >= N, F.sequence(F.lit(1), F.length(text) - (N - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.lit(base) + (at(i) * 961 + at(i + 1) * 31 + at(i + 2)) % BUCKETS)
+    """One split into code points, then sums with the two that follow: a substring by place would count from the text's start."""
+    points = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), F.ascii)
+    n = F.greatest(F.length(text) - (N - 1), F.lit(0))
+    two = F.zip_with(F.slice(points, 1, n), F.slice(points, 2, n), lambda a, b: a * 961 + b * 31)
+    return F.transform(F.zip_with(two, F.slice(points, 3, n), lambda a, b: a + b), lambda x: F.lit(base) + x % BUCKETS)
 
 
 def parts(url: Column) -> tuple[Column, Column]:

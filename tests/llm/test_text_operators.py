@@ -395,6 +395,11 @@ def test_languages(spark):
     odd = docs(spark, [(1, None, None), (2, "", None), (3, "123 !?", None), (3, "123 !?", None), (None, "the of and", None), (5, "the and of " * 30_000, None)])
     rows = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.identify(odd, model).collect()}
     assert rows[1] == rows[2] == rows[3] == ("und", 0.0) and rows[5][0] == "en" and 0 <= rows[5][1] <= 1
+    signs = language_id.identify(docs(spark, [(1, "½ ² Ⅷ ①", None), (2, "٣ १ _", None), (3, "½ the of and", None)]), model)
+    assert {r["doc_id"]: r["lang_pred"] for r in signs.collect()} == {1: "und", 2: "und", 3: "en"}
+    assert language_id.identify(d.limit(0), model).count() == 0
+    kept = language_id.identify(d.select("doc_id", "text", F.lit(1).alias("lang_pred"), F.lit(2).alias("score")), model)
+    assert dict(kept.dtypes) == {"doc_id": "bigint", "text": "string", "lang_pred": "string", "score": "double"}
     none = language_id.train(d.limit(0))
     assert {r["lang_pred"] for r in language_id.identify(odd, none).collect()} == {"und"}
 
@@ -425,6 +430,23 @@ def test_mixed_text_has_spans(spark):
     assert sizes.tolist() == [160]
     share = [(np.array([model.langs[k] for k in h]) == lang).mean() for h, lang in zip((labels[:80], labels[80:]), ("en", "de"))]
     assert min(share) > 0.85 and np.count_nonzero(np.diff(labels)) < 12
+    text = " ".join(en + de)
+    row = language_id.language_spans(spark.createDataFrame([(1, text, 1), (2, None, 1)], "doc_id long, text string, spans int"), model).orderBy("doc_id").collect()
+    assert row[1]["spans"] == [] and len(row[0]["spans"]) == np.count_nonzero(np.diff(labels)) + 1
+    assert row[0]["spans"][0]["start"] == 0 and row[0]["spans"][-1]["end"] == len(text)
+
+
+def test_a_long_url_takes_linear_time(spark):
+    import time
+
+    took = []
+    for n in (20_000, 80_000):
+        d = spark.createDataFrame([(1, "http://ab.org/" + "é/x" * (n // 3)), (1, "http://ab.org/" + "é/x" * (n // 3))], "page_id long, url string")
+        began = time.time()
+        assert len({tuple(r) for r in url_filter.judge(d).collect()}) == 1
+        took.append(time.time() - began)
+    assert took[1] < 4 + 6 * took[0]
+    assert url_filter.judge(d.limit(0)).count() == 0
 
 
 CHAT = "conv_id long, turn long, role string, text string, turns string, example int"

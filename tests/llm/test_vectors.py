@@ -188,3 +188,46 @@ def test_pipeline(spark):
         docs = spark.createDataFrame(docs.collect(), docs.schema)
     out = corpus_pipeline.STAGES[-1][1](spark, docs, "/root/testdata/sf0.001")
     assert out.where(F.col("length") > 4096).count() == 0 and out.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
+
+
+def test_pipeline_computes_each_stage_once(spark, monkeypatch):
+    import corpus_pipeline
+
+    passes = spark.sparkContext.accumulator(0)
+
+    def counted(spark_, docs, sf_dir):
+        def pass_by(batches):
+            for b in batches:
+                passes.add(b.num_rows)
+                yield b
+
+        return docs.mapInArrow(pass_by, docs.schema)
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("counted", counted), *corpus_pipeline.STAGES[1:]])
+    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    assert out.count() > 0 and passes.value == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
+
+
+def test_pipeline_stages_on_odd_documents(spark):
+    import corpus_pipeline
+
+    text = "the of and in to a is that it was for on are as with his they at be this"
+    rows_ = [(1, text, "en", "a", 5, "x", 1.0), (1, text, "en", "a", 5, "x", 1.0), (2, None, None, None, None, None, None), (3, "", "en", "a", 0, "x", 1.0), (None, text + " ann@mail.example.com", None, None, 9, None, 2.0)]
+    rows_ += [(5, "the of and " * 30_000, None, "b", 1, "y", 1.0), (6, "and then the other words of this one are for ann@mail.example.com to have", "en", "b", 1, "y", 1.0), (7, "12 34", None, "b", 1, "y", 1.0)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, lang_pred string, score double"
+    frame = spark.createDataFrame(rows_, schema)
+    for docs in (frame, frame.limit(0)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, "")
+            assert out.columns == docs.columns and out.dtypes == docs.dtypes, name
+            got = out.collect()
+            assert bool(got) == bool(docs.take(1)), name
+            if got and name == "language_id":
+                assert sorted(str(r["doc_id"]) for r in got) == ["1", "1", "5", "6", "None"]
+                assert {(r["lang_pred"], r["score"]) for r in got if r["doc_id"] == 1} == {("x", 1.0)}
+            if got and name == "ngram_jaccard_join":
+                assert sorted(r["doc_id"] for r in got) == [1, 5, 6]  # the one without an id has 14 of 15 shingles of 1
+            if got and name == "pii":
+                assert not any("@" in r["text"] for r in got) and all(r["n_chars"] == len(r["text"]) for r in got)
+            docs = spark.createDataFrame(got, out.schema)
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() >= docs.select("doc_id").distinct().count()
