@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
@@ -9,26 +10,29 @@ from pyspark.sql import functions as F
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts the lineage in the folder of spark.checkpoint.dir; a temporary one serves only where none is set (local tests)."""
+    """Cuts the lineage in the folder of spark.checkpoint.dir.  A temporary one serves only a local session, whose executor is the driver."""
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", "") and spark.sparkContext.getCheckpointDir() is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="mensura-checkpoint-"))
     return df.checkpoint(eager=True)
 
 
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
-    """(node, component) with the smallest node of each component: labels flow along links, each round also along labels.
+    """(node, component) with the smallest node of each component, by large-star and small-star steps (Kiveris et al. 2014).
 
-    A node takes the smallest label around it; then its label's own label.  Rounds are about the logarithm of the longest path.
+    The number of edges never grows, so a node with many links costs no more in later rounds.
     """
-    both = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
-    both = checkpoint(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    labels = checkpoint(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("component")))
+    edges, before = checkpoint(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()), None
     while True:
-        near = both.join(labels, both["v"] == labels["node"]).groupBy("u").agg(F.min("component").alias("m"))
-        step = labels.join(near, labels["node"] == near["u"]).select("node", F.least("component", "m").alias("c"), F.col("component").alias("old"))
-        jump = step.select(F.col("node").alias("c"), F.col("c").alias("further"))
-        new = checkpoint(step.join(jump, "c", "left").select("node", F.least("c", F.coalesce("further", "c")).alias("component"), "old"))
-        labels = new.select("node", "component")
-        if new.where("component <> old").isEmpty():
-            return labels
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        star = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        down = star.groupBy("u").agg(F.min("v").alias("m"))
+        edges = checkpoint(star.join(down, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == before:
+            labels = edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
+            return labels.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+        before = now

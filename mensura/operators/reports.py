@@ -150,7 +150,7 @@ def learning_stats(mappings: DataFrame, most: int = 10) -> DataFrame:
 
 
 def learned_lookup(mappings: DataFrame, user: str, text: str, most: int = 5) -> DataFrame:
-    own = mappings.where((F.col("user_id") == user) & (F.col("item_text") == text))
+    own = mappings.where((F.col("user_id") == user) & F.col("item_text").contains(text))  # equal or containing
     return own.orderBy(F.desc("times_used"), F.desc("confidence"), "layer").limit(most)
 
 

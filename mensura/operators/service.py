@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -163,14 +163,29 @@ def family(term: Column) -> Column:
     return out
 
 
+def letters_of(c: Column) -> Column:
+    """The different letters of a text."""
+    return F.array_distinct(F.filter(F.split(c, ""), lambda x: x != ""))
+
+
 def semantic_matches(terms: DataFrame, names: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """(term, name, score, strategy): equal, by family, else fuzzy from a threshold.  names is a dictionary of a checked size."""
-    if names.count() > 20_000:
-        raise ValueError("names must be the distinct names of one dictionary")
-    j = terms.withColumns({"t": normalize_words(F.col("term")), "f": family(F.col("term"))}).join(F.broadcast(names.withColumn("n", normalize_words(F.col("name")))))
-    j = j.withColumn("how", F.when(F.col("t") == F.col("n"), "exact").when(F.exists("f", lambda w: F.col("n").contains(w)), "synonym"))
-    sure = j.where("how IS NOT NULL").select("term", "name", F.when(F.col("how") == "exact", 1.0).otherwise(0.95).alias("score"), F.col("how").alias("strategy"))
-    rest = j.where("how IS NULL").select("term", "name", sequence_ratio("t", "n").alias("score")).where(F.col("score") >= threshold)
+    """(term, name, score, strategy): equal, by family, else fuzzy from a threshold above 0, for dictionaries of any size.
+
+    A ratio above 0 needs a letter in common and lengths within (2 - threshold) / threshold of each other, so terms and names
+    meet in an equi-join on their letters; equal ones and families meet on theirs.
+    """
+    t = terms.withColumn("t", normalize_words(F.col("term"))).withColumn("f", family(F.col("term")))
+    n = names.withColumn("n", normalize_words(F.col("name")))
+    exact = t.join(n, F.col("t") == F.col("n")).select("term", "name", F.lit(1.0).alias("score"), F.lit("exact").alias("strategy"))
+    # Words of a family are a fixed, short list: each name is marked with those that it contains.
+    words = sorted({w for k, ws in FAMILIES.items() for w in (k, *ws)})
+    marked = n.withColumn("w", F.explode(F.array_compact(F.array(*[F.when(F.col("n").contains(w), F.lit(w)) for w in words]))))
+    synonym = t.select("term", "t", F.explode("f").alias("w")).join(marked, "w").where("t <> n").select("term", "name").distinct()
+    far = (2 - threshold) / threshold
+    met = t.select("term", "t", F.explode(letters_of(F.col("t"))).alias("c")).join(n.select("name", "n", F.explode(letters_of(F.col("n"))).alias("c")), "c")
+    met = met.where((F.length("t") <= far * F.length("n")) & (F.length("n") <= far * F.length("t")) & (F.col("t") != F.col("n"))).select("term", "name", "t", "n").distinct()
+    rest = met.join(synonym, ["term", "name"], "left_anti").select("term", "name", sequence_ratio("t", "n").alias("score")).where(F.col("score") >= threshold)
+    sure = exact.unionByName(synonym.select("term", "name", F.lit(0.95).alias("score"), F.lit("synonym").alias("strategy")))
     return sure.unionByName(rest.withColumn("strategy", F.lit("fuzzy")))
 
 
@@ -212,8 +227,20 @@ def layer_votes(rows: DataFrame, layer: str, trade: Column) -> DataFrame:
 
 
 def first_prefix_match(rows: DataFrame, reference: DataFrame, size: int = 20) -> DataFrame:
-    """For each text the first reference text that has its prefix inside or is inside its own; both sides are dictionaries."""
-    j = rows.join(F.broadcast(reference.select(F.col("text").alias("r"), "ord")))
-    hit = j.where(F.col("r").contains(F.substring("text", 1, size)) | F.col("text").contains(F.substring("r", 1, size)))
-    w = Window.partitionBy("text").orderBy("ord")
-    return hit.withColumn("rn", F.row_number().over(w)).where("rn = 1").select("text", "r")
+    """For each text the first reference text that has its prefix inside or is inside its own.
+
+    A text that contains a prefix contains it at some place, so both ways are equi-joins of prefixes with all pieces of their
+    length; prefixes shorter than size are looked for by the lengths that occur.
+    """
+    r = reference.select(F.col("text").alias("r"), "ord")
+
+    def inside(holders: DataFrame, held: DataFrame, holder: str, part: str) -> DataFrame:
+        keys = held.withColumn("_p", F.substring(part, 1, size)).withColumn("_n", F.length("_p"))
+        lengths = keys.agg(F.array_sort(F.collect_set("_n")).alias("_l"))  # size + 1 values at most
+        own = holders.join(F.broadcast(lengths)).withColumn("_n", F.explode("_l"))
+        starts = F.sequence(F.lit(1), F.greatest(F.length(holder) - F.col("_n") + 1, F.lit(0)))
+        pieces = F.when(F.length(holder) >= F.col("_n"), F.array_distinct(F.transform(starts, lambda i: F.substr(F.col(holder), i, F.col("_n"))))).otherwise(F.array().cast("array<string>"))
+        return own.withColumn("_p", F.explode(pieces)).join(keys, ["_p", "_n"]).select("text", "r", "ord")
+
+    both = inside(r, rows.select("text"), "r", "text").unionByName(inside(rows.select("text"), r, "text", "r"))
+    return both.groupBy("text").agg(F.min_by("r", "ord").alias("r"))

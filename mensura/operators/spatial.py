@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mensura.operators.graph import checkpoint
+
 
 def distance(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
     return F.sqrt((ax - bx) * (ax - bx) + (ay - by) * (ay - by))
@@ -134,7 +136,8 @@ def explode_blocks(roots: DataFrame, children: DataFrame, depth: int = 10) -> Da
         leaves = step.where("child IS NULL").select("root", "entity", "layer", "t", "depth")
         out = leaves if out is None else out.unionByName(leaves)
         level = step.where("child IS NOT NULL AND NOT array_contains(path, child)").select("root", F.col("child").alias("block"), "layer", "t", F.concat("path", F.array("child")).alias("path"), "depth")
-        if not children.sparkSession.conf.get("spark.sql.adaptive.enabled") or level.isEmpty():
+        level = checkpoint(level)
+        if level.isEmpty():
             break
     return out
 

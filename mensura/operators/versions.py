@@ -55,13 +55,15 @@ def block_trust(name: Column, layer: Column) -> Column:
     return F.struct(pick(True, True, False, False, False).alias("generic"), pick(False, False, True, True, False).alias("trusted"), pick("none", "low", "high", "medium", "low").alias("confidence"), pick(1.0, 0.8, 0.0, 0.1, 0.5).alias("penalty"))
 
 
-def row_rules(rules: DataFrame, fields: list[str]) -> list[tuple[str, Column]]:
-    """Configured range rules as checks: JSON config {field, min, max} of each enabled rule.  Rules are a small table of settings."""
-    rows = rules.where("enabled AND rule_type = 'range'").select("id", F.from_json("config", "field string, min double, max double").alias("c")).limit(1000).collect()
-    return [(r["id"], (F.col(r["c"]["field"]) < r["c"]["min"]) | (F.col(r["c"]["field"]) > r["c"]["max"])) for r in sorted(rows, key=lambda r: r["id"]) if r["c"] and r["c"]["field"] in fields]
+def broken_rules(rows: DataFrame, rules: DataFrame, key: str = "id") -> DataFrame:
+    """Each row with the ids of the enabled range rules (JSON config {field, min, max}) that it breaks, sorted.
 
-
-def broken_rules(rows: DataFrame, rules: DataFrame) -> DataFrame:
-    """Each row's broken rules."""
-    checks = row_rules(rules, rows.columns)
-    return rows.withColumn("broken", F.array_compact(F.array(*[F.when(c, F.lit(i)) for i, c in checks])) if checks else F.array().cast("array<string>"))
+    Rows meet the rules of their fields in an equi-join on the field's name, whatever the number of rules.
+    """
+    numeric = [f for f, t in rows.dtypes if t in ("double", "float", "int", "bigint", "smallint", "tinyint") or t.startswith("decimal")]
+    own = rules.where("enabled AND rule_type = 'range'").select(F.col("id").alias("rule"), F.from_json("config", "field string, min double, max double").alias("c")).select("rule", "c.*")
+    values = rows.select(F.col(key).alias("_key"), F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("double").alias("value")) for f in numeric])))
+    hit = values.join(own, "field").where("value < min OR value > max")
+    broken = hit.groupBy("_key").agg(F.array_sort(F.collect_set("rule")).alias("broken"))
+    out = rows.join(broken, rows[key] == broken["_key"], "left").drop("_key")
+    return out.withColumn("broken", F.coalesce("broken", F.array().cast("array<string>")))

@@ -330,9 +330,9 @@ for _which, _where in (("pending", "starts_with(status, 'pending')"), ("low", "m
         return R.review_filter(s, which).select("id", "status")
 
 
-@register("srt6_review_sort", "SELECT id, qty FROM (SELECT id, coalesce(qty_final, 0.0) AS qty FROM staging_rows) ORDER BY qty, id LIMIT 50", "staging_rows")
+@register("srt6_review_sort", "SELECT id, qty FROM (SELECT id, coalesce(qty_final, 0.0) AS qty FROM staging_rows) ORDER BY qty, id", "staging_rows")
 def _(s):
-    return s.select("id", F.coalesce("qty_final", F.lit(0.0)).alias("qty")).orderBy("qty", "id").limit(50)
+    return s.select("id", F.coalesce("qty_final", F.lit(0.0)).alias("qty")).orderBy("qty", "id")
 
 
 @register("flt26_pricing_work_list", "SELECT id FROM staging_rows WHERE status IN ('approved', 'pending') AND unit_price_ref IS NULL", "staging_rows")
@@ -401,7 +401,7 @@ def _(m):
     return R.learning_stats(m)
 
 
-@register("jn22_learned_lookup", "SELECT layer, times_used FROM learned_mappings WHERE user_id = 'BUILDING' AND item_text = 'item 3' ORDER BY times_used DESC, confidence DESC, layer LIMIT 5", "learned_mappings")
+@register("jn22_learned_lookup", "SELECT layer, times_used FROM learned_mappings WHERE user_id = 'BUILDING' AND contains(item_text, 'item 3') ORDER BY times_used DESC, confidence DESC, layer LIMIT 5", "learned_mappings")
 def _(m):
     return R.learned_lookup(m, "BUILDING", "item 3").select("layer", "times_used")
 

@@ -133,22 +133,24 @@ def _(b):
     return b.select("row_index", V.normalize_words(F.col("description")).alias("words"))
 
 
-@register("sim8_family", "SELECT DISTINCT w AS word, CASE WHEN w IN ('muro', 'hormigon', 'tabique') THEN 'muro' WHEN w IN ('piso') THEN 'losa' WHEN w IN ('cielo') THEN 'cielo' WHEN w IN ('puerta', 'acceso') THEN 'puerta' WHEN w IN ('ventana') THEN 'ventana' END AS family FROM (SELECT lower(string_split(description, ' ')[1]) AS w FROM bill_items UNION ALL SELECT lower(string_split(description, ' ')[2]) FROM bill_items)", "bill_items")
+@register("sim8_family", "SELECT DISTINCT w AS word, CASE WHEN w IN (" + "".join(f"{', '.join(repr(w) for w in (k, *ws))}) THEN '{k}' WHEN w IN (" for k, ws in V.FAMILIES.items())[: -len(" WHEN w IN (")] + " END AS family FROM (SELECT unnest(string_split(lower(description), ' ')) AS w FROM bill_items)", "bill_items")
 def _(b):
-    words = b.select(F.explode(F.slice(F.split(F.lower("description"), " "), 1, 2)).alias("word")).distinct()
+    words = b.select(F.explode(F.split(F.lower("description"), " ")).alias("word")).distinct()
     return words.select("word", F.get(V.family(F.col("word")), 0).alias("family"))
 
 
 @register("sim6_fuzzy_pairs", None, "bill_items", "takeoff_rows")
 def _(b, rows):
-    d = b.select(F.concat_ws(" ", F.slice(F.split("description", " "), 1, 2)).alias("d")).distinct()
-    layers = rows.select("layer").distinct()
-    return d.join(F.broadcast(layers)).select("d", "layer", F.round(V.fuzzy_score(V.normalize_words(F.col("d")), V.normalize_words(F.col("layer"))), 6).alias("score"))
+    # Whole descriptions beside the layers that share a word with them: all others can't be compared in a useful way.
+    word = lambda c: F.explode(F.array_distinct(F.split(V.normalize_words(F.col(c)), " "))).alias("w")
+    d, layers = b.select(F.col("description").alias("d")).distinct(), rows.select("layer").distinct()
+    met = d.select("d", word("d")).join(layers.select("layer", word("layer")), "w").select("d", "layer").distinct()
+    return met.select("d", "layer", F.round(V.fuzzy_score(V.normalize_words(F.col("d")), V.normalize_words(F.col("layer"))), 6).alias("score"))
 
 
 @register("sim7_semantic_matches", None, "bill_items", "takeoff_rows")
 def _(b, rows):
-    terms = b.select(F.get(F.split(F.lower("description"), " "), 0).alias("term")).distinct()
+    terms = b.select(F.explode(F.split(F.lower("description"), " ")).alias("term")).distinct()
     return rounded(V.semantic_matches(terms, rows.select(F.col("layer").alias("name")).distinct()), "score")
 
 
@@ -178,14 +180,12 @@ def _(items):
     return items.where("type = 'area'").select(*ORDINAL, V.region_category(F.col("value_si") / 10, aspect, F.col("layer")).alias("category"))
 
 
-@register("jn16_prefix_match", f"""WITH t AS (SELECT DISTINCT description AS text FROM bill_items), r AS (SELECT text AS r, row_number() OVER (ORDER BY text) AS ord FROM t WHERE length(text) % 3 = 0), j AS (SELECT text, r, row_number() OVER (PARTITION BY text ORDER BY ord) AS rn FROM t JOIN r ON contains(r, substr(text, 1, 20)) OR contains(text, substr(r, 1, 20)))
-SELECT text, r FROM j WHERE rn = 1""", "bill_items")
-def _(b):
-    from pyspark.sql import Window
-
+@register("jn16_prefix_match", f"""WITH t AS (SELECT DISTINCT description AS text FROM bill_items), r AS (SELECT DISTINCT layer AS r, layer AS ord FROM takeoff_rows UNION SELECT name_raw, 'z' || name_raw FROM cad_items), j AS (SELECT text, r, row_number() OVER (PARTITION BY text ORDER BY ord) AS rn FROM t JOIN r ON contains(r, substr(text, 1, 20)) OR contains(text, substr(r, 1, 20)))
+SELECT text, r FROM j WHERE rn = 1""", "bill_items", "takeoff_rows", "cad_items")
+def _(b, rows, items):
     t = b.select(F.col("description").alias("text")).distinct()
-    r = t.where(F.length("text") % 3 == 0).withColumn("ord", F.row_number().over(Window.orderBy("text")))
-    return V.first_prefix_match(t, r)
+    names = rows.select(F.col("layer").alias("text"), F.col("layer").alias("ord")).unionByName(items.select(F.col("name_raw").alias("text"), F.concat(F.lit("z"), "name_raw").alias("ord")))
+    return V.first_prefix_match(t, names.distinct())
 
 
 @register("agg26_matching_stats", f"WITH {CHECKED} SELECT count(*) AS total, count(*) FILTER (severity = 'ok') AS ok, count(*) FILTER (unit = '') AS headers, count(*) FILTER (q IS NULL) AS open FROM s", "bill_items")
@@ -218,9 +218,9 @@ def _(j):
     return spark.createDataFrame(rows, "unit string, w string").groupBy("unit").agg(F.count("*").cast("int").alias("n"), F.min("w").alias("first"))
 
 
-@register("flt25_updatable_fields", "SELECT id, qty_final, unit_price_ref, status, CAST(height_factor AS DOUBLE) AS height_factor FROM staging_rows WHERE id % 50 = 0", "staging_rows")
+@register("flt25_updatable_fields", "SELECT id, qty_final, unit_price_ref, status, CAST(height_factor AS DOUBLE) AS height_factor FROM staging_rows", "staging_rows")
 def _(s):
-    return s.where("id % 50 = 0").select("id", "qty_final", "unit_price_ref", "status", F.col("height_factor").cast("double").alias("height_factor"))
+    return s.select("id", "qty_final", "unit_price_ref", "status", F.col("height_factor").cast("double").alias("height_factor"))
 
 
 @register("flt30_owned_rows", "SELECT j.id FROM jobs j WHERE j.batch_id IN (SELECT batch_id FROM batch_metrics WHERE accuracy > 20)", "jobs", "batch_metrics")
@@ -247,9 +247,9 @@ def _(rows, items):
     return rows.where("name = 'Arc'").select("layer").subtract(items.where("type = 'area' AND value_si > 104.9").select("layer"))
 
 
-@register("srt8_version_order", "SELECT batch_id, max(created_at) AS latest FROM jobs GROUP BY batch_id ORDER BY latest DESC, batch_id LIMIT 20", "jobs")
+@register("srt8_version_order", "SELECT batch_id, max(created_at) AS latest FROM jobs GROUP BY batch_id ORDER BY latest DESC, batch_id", "jobs")
 def _(j):
-    return j.groupBy("batch_id").agg(F.max("created_at").alias("latest")).orderBy(F.desc("latest"), "batch_id").limit(20)
+    return j.groupBy("batch_id").agg(F.max("created_at").alias("latest")).orderBy(F.desc("latest"), "batch_id")
 
 
 @register("srt10_areas_in_range", f"SELECT {ORD}, value_si FROM cad_items WHERE type = 'area' AND value_si BETWEEN 20 AND 21 ", "cad_items")

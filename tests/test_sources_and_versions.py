@@ -61,5 +61,7 @@ def test_block_trust(spark):
 
 def test_configured_rules(spark):
     rules = spark.createDataFrame([("r1", "range", '{"field": "qty", "min": 1, "max": 5}', True), ("r2", "range", '{"field": "qty", "min": 0, "max": 1}', False), ("r3", "range", "broken", True)], "id string, rule_type string, config string, enabled boolean")
-    rows = spark.createDataFrame([(0.5,), (3.0,), (None,)], "qty double")
-    assert [r["broken"] for r in V.broken_rules(rows, rules).collect()] == [["r1"], [], []]
+    many = rules.unionByName(spark.range(1500).selectExpr("concat('m', id) AS id", "'range' AS rule_type", """'{"field": "qty", "min": 2.5, "max": 9}' AS config""", "true AS enabled"))
+    rows = spark.createDataFrame([(1, 0.5), (2, 3.0), (3, None)], "id long, qty double")
+    assert [r["broken"] for r in V.broken_rules(rows, rules).orderBy("id").collect()] == [["r1"], [], []]
+    assert [len(r["broken"]) for r in V.broken_rules(rows, many).orderBy("id").collect()] == [1501, 0, 0]
