@@ -156,3 +156,59 @@ def polygon_signature(vertices: Column, tolerance: float = 0.01) -> Column:
     near = lambda c: F.floor(c / tolerance + 0.5)
     corners = F.array_sort(F.transform(vertices, lambda v: F.struct(near(v["x"]).alias("x"), near(v["y"]).alias("y"))))
     return F.array_join(F.transform(corners, lambda v: F.concat_ws(",", v["x"].cast("string"), v["y"].cast("string"))), "|")
+
+
+def ring_area(rings: Column) -> Column:
+    """Area of the first ring without those of the others, 0 at least."""
+    first = shoelace(F.element_at(rings, 1))
+    holes = F.aggregate(F.transform(F.slice(rings, 2, F.size(rings)), shoelace), F.lit(0.0), lambda s, a: s + a)
+    return F.greatest(first - holes, F.lit(0.0))
+
+
+def insert_transform(x: Column, y: Column, rotation: Column, sx: Column, sy: Column) -> Column:
+    """Transform of an insert: a scale that is missing or 0 is 1, a missing place or angle 0."""
+    one, zero = lambda c: F.coalesce(F.nullif(c, F.lit(0.0)), F.lit(1.0)), lambda c: F.coalesce(c, F.lit(0.0))
+    return F.struct(zero(x).alias("x"), zero(y).alias("y"), zero(rotation).alias("rotation"), one(sx).alias("sx"), one(sy).alias("sy"))
+
+
+def polygon_distance(vertices: Column, x: Column, y: Column) -> Column:
+    """Distance of a point to a polygon: 0 inside, else to its nearest edge."""
+    n = F.size(vertices)
+    turned = F.concat(F.slice(vertices, 2, n), F.slice(vertices, 1, 1))
+
+    def edge(a, b):
+        dx, dy = b["x"] - a["x"], b["y"] - a["y"]
+        size = dx * dx + dy * dy
+        t = F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((x - a["x"]) * dx + (y - a["y"]) * dy) / F.nullif(size, F.lit(0.0)))), F.lit(0.0))
+        return distance(x, y, a["x"] + t * dx, a["y"] + t * dy)
+
+    return F.when(contains(vertices, x, y), 0.0).otherwise(F.array_min(F.zip_with(vertices, turned, edge)))
+
+
+def near_polygons(points: DataFrame, zones: DataFrame, radius: float, cell: float = 5.0) -> DataFrame:
+    """Points beside the zones (zone, vertices) that are at most radius away, with dist; both meet on grid cells."""
+    bound = lambda f, k: f(F.transform("vertices", lambda v: v[k]))
+    grid = lambda k: F.sequence(F.floor((bound(F.array_min, k) - radius) / cell), F.floor((bound(F.array_max, k) + radius) / cell))
+    z = zones.withColumn("_cx", F.explode(grid("x"))).withColumn("_cy", F.explode(grid("y")))
+    own = points.withColumns({"_cx": F.floor(F.col("x") / cell), "_cy": F.floor(F.col("y") / cell)}).join(z, ["_cx", "_cy"]).drop("_cx", "_cy")
+    return own.withColumn("dist", polygon_distance(F.col("vertices"), F.col("x"), F.col("y"))).where(F.col("dist") <= radius)
+
+
+def nearest_polygon(points: DataFrame, zones: DataFrame, key: str, radius: float) -> DataFrame:
+    """(key, zone, dist) of each point's nearest zone within radius; ties go to the smallest zone."""
+    best = near_polygons(points, zones, radius).groupBy(key).agg(F.min(F.struct(F.round("dist", 9).alias("dist"), "zone")).alias("b"))
+    return best.select(key, "b.zone", "b.dist")
+
+
+def texts_of_regions(regions: DataFrame, texts: DataFrame, radius: float, most: int = 10) -> DataFrame:
+    """(zone, id, how, relevance): the most relevant texts in or near each region: inside, near its centre, near its edge."""
+    c = centroid(F.col("vertices"))
+    # The centre can be near where the edge is, too, so what is within radius of the polygon has all of them.
+    near = near_polygons(texts, regions, radius).withColumn("_c", c).withColumn("mid", distance(F.col("x"), F.col("y"), F.col("_c.x"), F.col("_c.y")))
+    inside, middle = F.col("dist") == 0, F.col("mid") <= radius
+    near = near.withColumns({
+        "how": F.when(inside, "inside").when(middle, "near_centroid").otherwise("near_boundary"),
+        "relevance": F.when(inside, 1.0).when(middle, 1 / (1 + F.col("mid"))).otherwise(1 / (1 + F.col("dist"))),
+    })
+    w = Window.partitionBy("zone").orderBy(F.desc(F.round("relevance", 9)), "id")
+    return near.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= most)
