@@ -67,6 +67,9 @@ FROM lineitem JOIN supplier ON l_suppkey = s_suppkey""",
     "points": """SELECT vec_id AS id, CAST(embedding[{one}] AS DOUBLE) * 50 AS x, CAST(embedding[{two}] AS DOUBLE) * 50 AS y, 'zone ' || CAST(label AS STRING) AS label FROM embeddings""",
     "segments": """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_partkey % 40 AS DOUBLE) AS x1, CAST(l_suppkey % 40 AS DOUBLE) AS y1,
   CAST(l_partkey % 40 AS DOUBLE) + CAST(l_linenumber AS DOUBLE) AS x2, CAST(l_suppkey % 40 AS DOUBLE) + CAST(l_orderkey % 3 AS DOUBLE) AS y2, l_returnflag AS layer
+FROM lineitem""",
+    "drawing_rows": """SELECT l_orderkey AS file, l_linenumber, l_partkey, l_suppkey, CAST(l_linenumber AS INT) AS kind, CAST(l_partkey % 40 AS DOUBLE) AS x, CAST(l_suppkey % 40 AS DOUBLE) AS y,
+  1.0 + l_linenumber + l_suppkey % 3 AS w, 1.0 + l_partkey % 5 AS h, CASE l_returnflag WHEN 'A' THEN 'Muro' WHEN 'R' THEN 'A-PISO' ELSE '0' END AS layer, CASE WHEN l_suppkey % 10 = 0 THEN 1 ELSE 0 END AS space
 FROM lineitem""",
     "jobs": """SELECT event_id AS id, user_id AS batch_id, CASE event_type WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'completed' ELSE 'queued' END AS status, ts AS created_at FROM events""",
 }

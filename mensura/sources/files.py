@@ -37,25 +37,67 @@ def read_takeoff_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_group_codes(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line, code, value) of drawing files: lines come in pairs of a code and a value."""
-    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.split(F.regexp_replace(F.replace("value", F.lit("﻿")), "\r\n?", "\n"), "\n").alias("l"))
+    """(file, line, code, value) of drawing files; see group_codes."""
+    return group_codes(spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value"))
+
+
+def group_codes(drawings: DataFrame) -> DataFrame:
+    """(file, line, code, value) of drawings (file, value = the whole text): lines come in pairs of a code and a value.
+
+    A byte order mark and NUL characters go, all line ends count; pairs without a numeric code are left out.
+    """
+    text = F.replace(F.replace("value", F.lit("\ufeff")), F.lit("\0"))
+    lines = drawings.select("file", F.split(F.regexp_replace(text, "\r\n?", "\n"), "\n").alias("l"))
     pairs = F.transform(F.sequence(F.lit(0), F.greatest(F.floor(F.size("l") / 2) - 1, F.lit(0))), lambda i: F.struct(i.cast("int").alias("line"), F.trim(F.get("l", (i * 2).cast("int"))).alias("code"), F.get("l", (i * 2 + 1).cast("int")).alias("value")))
     return lines.select("file", F.inline(pairs)).where(F.col("code").rlike(r"^\d+$")).withColumn("code", F.col("code").cast("int"))
 
 
 def entities(codes: DataFrame) -> DataFrame:
-    """One row for each entity: its section, type and the first value of the codes that the engine uses."""
+    """One row for each entity: section, block, type, the first value of the codes that the engine uses, and its points.
+
+    points are structs (line, ring, x, y) in the order of the file: the corners of a light polyline, the VERTEX rows of an old
+    one (which are no entities of their own), and of a hatch the corners of its polyline paths, ring 1 being the outer one.
+    Elevation and seed points of a hatch and its edge paths are no corners.  All steps keep the partitioning by file.
+    """
     w = Window.partitionBy("file").orderBy("line")
-    marked = codes.withColumn("entity", F.sum((F.col("code") == 0).cast("int")).over(w)).withColumn("section", F.last(F.when((F.col("code") == 2) & (F.lag("code").over(w) == 0) & (F.lag("value").over(w) == "SECTION"), F.col("value")), ignorenulls=True).over(w))
-    first = lambda c: F.min_by(F.when(F.col("code") == c, F.col("value")), F.when(F.col("code") == c, F.col("line")))
-    number = lambda c: first(c).cast("double")
-    out = marked.groupBy("file", "entity").agg(
-        F.max_by("section", "line").alias("section"), first(0).alias("type"), first(8).alias("layer"), first(2).alias("name"), first(1).alias("text"), first(5).alias("handle"),
-        number(10).alias("x"), number(20).alias("y"), number(11).alias("x2"), number(21).alias("y2"), number(40).alias("radius"), number(50).alias("rotation"), number(70).alias("flags"), number(67).alias("space"),
+    code, value = F.col("code"), F.trim("value")
+    m = codes.withColumns({
+        "entity": F.sum((code == 0).cast("int")).over(w), "kind": F.last(F.when(code == 0, value), True).over(w),
+        "y": F.when(F.lead("code").over(w) == code + 10, F.lead("value").over(w)).try_cast("double"),
+    })
+    hatch = F.col("kind") == "HATCH"
+    m = m.withColumns({
+        "section": F.last(F.when((code == 2) & (F.col("kind") == "SECTION"), value), True).over(w),
+        "block": F.last(F.when((code == 2) & (F.col("kind") == "BLOCK"), value), True).over(w),
+        "line_work": F.last(F.when((code == 0) & (value == "POLYLINE"), F.col("entity")), True).over(w),
+        "path": F.last(F.when(code == 0, 0).when(hatch & (code == 92), value.try_cast("int")).when(hatch & (code == 98), 0), True).over(w),
+        "paths": F.count_if(hatch & (code == 92)).over(w),
+    })
+    m = m.withColumn("before", F.last(F.when(code == 0, F.col("paths")), True).over(w))
+    corner = (code == 10) & (F.col("kind").isin("LWPOLYLINE", "VERTEX") | (hatch & (F.col("path").bitwiseAND(2) > 0)))
+    m = m.withColumns({
+        "entity": F.when(F.col("kind").isin("VERTEX", "SEQEND"), F.coalesce("line_work", "entity")).otherwise(F.col("entity")),
+        "point": F.when(corner, F.struct("line", (F.col("paths") - F.col("before")).alias("ring"), value.try_cast("double").alias("x"), "y")),
+    })
+    first = lambda c: F.min_by(F.when(code == c, value), F.when(code == c, F.col("line")))
+    number = lambda c: first(c).try_cast("double")
+    out = m.groupBy("file", "entity").agg(
+        F.min_by("section", "line").alias("section"), F.min_by("block", "line").alias("block"), first(0).alias("type"), first(8).alias("layer"), first(2).alias("name"), first(1).alias("text"), first(5).alias("handle"),
+        number(10).alias("x"), number(20).alias("y"), number(11).alias("x2"), number(21).alias("y2"), number(40).alias("radius"), number(41).alias("sx"), number(42).alias("sy"),
+        number(50).alias("rotation"), number(51).alias("end_angle"), number(70).alias("flags"), number(67).alias("space"), F.array_sort(F.collect_list("point")).alias("points"),
     )
+    out = out.withColumn("block", F.when(F.col("section") == "BLOCKS", F.when(F.col("type") == "BLOCK", F.col("name")).otherwise(F.col("block"))))
     return out.where("type NOT IN ('SECTION', 'ENDSEC', 'EOF')")
 
 
+def header_values(codes: DataFrame) -> DataFrame:
+    """(file, insunits, min_x, min_y, max_x, max_y): unit code and extents that the headers of drawings state."""
+    w = Window.partitionBy("file").orderBy("line")
+    m = codes.withColumn("variable", F.last(F.when(F.col("code") == 9, F.trim("value")).when(F.col("code") == 0, ""), True).over(w))
+    at = lambda v, c: F.max(F.when((F.col("variable") == v) & (F.col("code") == c), F.trim("value"))).try_cast("double")
+    return m.groupBy("file").agg(at("$INSUNITS", 70).cast("int").alias("insunits"), at("$EXTMIN", 10).alias("min_x"), at("$EXTMIN", 20).alias("min_y"), at("$EXTMAX", 10).alias("max_x"), at("$EXTMAX", 20).alias("max_y"))
+
+
 def preflight(codes: DataFrame) -> DataFrame:
     """Counts, bounding box, external references of each drawing, and whether these stop the work."""
     e = entities(codes)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from mensura.functions import text as T
 from mensura.functions import units as U
+from mensura.operators import drawing as D
 from mensura.operators import quality as Q
 from mensura.operators import reports as R
 from mensura.operators import service as V
@@ -169,3 +170,25 @@ def test_matches_do_not_depend_on_the_number_of_layers(spark, monkeypatch):
     want = best(), states()
     monkeypatch.setattr(M, "BROADCAST_LAYERS", 3)
     assert (best(), states()) == want
+
+
+HATCHED = ["0", "SECTION", "2", "BLOCKS", "0", "BLOCK", "2", "A", "0", "INSERT", "2", "B", "8", "0", "41", "2", "0", "ENDBLK", "0", "BLOCK", "2", "B", "0", "INSERT", "2", "A", "8", "0", "0", "LINE", "8", "0", "10", "0", "20", "0", "11", "1", "21", "0", "0", "ENDBLK", "0", "ENDSEC"] + [
+    "0", "SECTION", "2", "ENTITIES", "0", "HATCH", "8", "muro", "10", "0", "20", "0", "91", "2", "92", "1", "93", "1", "72", "1", "10", "0", "20", "0", "11", "9", "21", "9",
+    "92", "2", "93", "3", "10", "0", "20", "0", "10", "4", "20", "0", "10", "0", "20", "3", "98", "1", "10", "1", "20", "1", "0", "INSERT", "8", "Eje", "2", "A", "41", "3", "42", "3", "0", "INSERT", "8", "x", "2", "none", "0", "DIMENSION", "8", "x", "0", "ENDSEC", "0", "EOF"]
+
+
+def test_items_of_a_drawing(spark):
+    """Edge paths and seed points are no corners, blocks that hold each other end, unknown blocks and dimensions bring nothing."""
+    e = S.entities(S.group_codes(spark.createDataFrame([("a", "\ufeff" + "\r\n".join(HATCHED)), ("b", ""), ("c", None)], "file string, value string")))
+    hatch = e.where("type = 'HATCH'").first()
+    assert [(p["x"], p["y"]) for p in hatch["points"]] == [(0, 0), (4, 0), (0, 3)]
+    got = D.items(e, spark.createDataFrame([("a", 0.5)], "file string, factor double")).collect()
+    assert {(r["type"], r["layer"], r["evidence"], r["name"]): r["value"] for r in got} == {
+        ("length", "eje", "layer", None): 3.0, ("length", "eje", "insert", None): 3.0, ("block", "eje", "insert count", "A"): 2.0, ("block", "eje", "insert count", "B"): 1.0,
+    }
+
+
+def test_unit_factors(spark):
+    rows = [(4, "m", 1.0, 0.001, "High"), (0, " CM ", 9.0, 0.01, "Medium"), (0, None, 5001.0, 0.001, "Medium"), (0, "ell", 2000.0, 1.0, "Low"), (None, None, None, 1.0, "Medium"), (9, "mm", 1.0, 1.0, "Low")]
+    got = spark.createDataFrame(rows, "code int, hint string, size double, factor double, confidence string").select("factor", "confidence", D.unit_factor(F.col("code"), F.col("hint"), F.col("size")).alias("u")).collect()
+    assert all(r["u"]["factor"] == r["factor"] and r["u"]["confidence"] == r["confidence"] for r in got)
