@@ -20,6 +20,8 @@ BROADCAST_LAYERS, MOST = 20_000, 5
 #: Names of layers that collect anything, and what a match with them costs.
 GENERIC_LAYERS = ["0", "dimen", "g-dim", "defpoints", "fa_color 12", "fa_color 13", "fa_color 14", "fa_color 15", "mb-elev 2", "mb-elev 4", "mb-elev 0", "i-ele-alumbrado"]
 GENERIC_PENALTY, TRADE_PENALTY, ABSURD_AREA, ABSURD_PENALTY = 0.7, 0.5, 5000.0, 0.3
+#: What blocks on a layer add to a counted item, and what their absence costs if a drawing has more than so many.
+BLOCK_BOOST, NO_BLOCK_PENALTY, ENOUGH_BLOCKS = 0.35, 0.2, 10
 MEASURED = ("area", "length", "count")
 
 
@@ -50,17 +52,25 @@ def eligible(kind: Column) -> Column:
     )
 
 
-def pairs(items: DataFrame, layers: DataFrame) -> DataFrame:
-    """Eligible (item, layer) pairs: all, or with many layers those among which are the MOST + 1 best of each item."""
+def pairs(items: DataFrame, layers: DataFrame, boosted: DataFrame | None = None) -> DataFrame:
+    """Eligible (item, layer) pairs: all, or with many layers those among which are the MOST + 1 best of each item.
+
+    boosted (row_index, layer, text_boost, word_boost) adds what drawings say; layers then have block_count and any_blocks, too.
+    """
     n = layers.count()
     if n <= BROADCAST_LAYERS:
-        return items.join(F.broadcast(layers), eligible(F.col("kind")))
+        out = items.join(F.broadcast(layers), eligible(F.col("kind")))
+        return out if boosted is None else out.join(boosted, ["row_index", "layer"], "left")
     words = items.select("row_index", F.explode("ea").alias("w")).join(layers.select("layer", F.explode("eb").alias("w")), "w").select("row_index", "layer")
     # A pair without a shared word scores 0, so the MOST + 1 first eligible layers by name rank before any other such pair.
     group = F.when(F.col("kind").isin(*MEASURED), F.col("kind")).otherwise("").alias("group")
     first = [layers.where(eligible(F.lit(k))).orderBy("layer").limit(MOST + 1).select(F.lit(k).alias("group"), "layer") for k in (*MEASURED, "")]
+    if boosted is not None:  # a count is worth more on a layer with blocks, so the first of these may rank without a word, too
+        first.append(layers.where(eligible(F.lit("count")) & (F.col("block_count") > 0)).orderBy("layer").limit(MOST + 1).select(F.lit("count").alias("group"), "layer"))
+        words = words.unionByName(boosted.select("row_index", "layer"))
     blank = items.select("row_index", group).join(F.broadcast(reduce(DataFrame.unionByName, first)), "group").select("row_index", "layer")
-    return items.join(words.unionByName(blank).distinct(), "row_index").join(layers, "layer").where(eligible(F.col("kind")))
+    out = items.join(words.unionByName(blank).distinct(), "row_index").join(layers, "layer").where(eligible(F.col("kind")))
+    return out if boosted is None else out.join(boosted, ["row_index", "layer"], "left")
 
 
 def scored(pairs_: DataFrame) -> DataFrame:
@@ -68,6 +78,12 @@ def scored(pairs_: DataFrame) -> DataFrame:
     out = pairs_.withColumns({"similarity": base, "qty_used": quantity(F.col("kind"))})
     s = F.least(F.col("similarity") * 0.5 + F.col("similarity") * 0.1, F.lit(1.0))
     floor = lambda c: F.greatest(c, F.lit(0.0))
+    if "text_boost" in out.columns:
+        zero = lambda c: F.coalesce(c, F.lit(0.0))
+        s = F.least(F.col("similarity") * 0.5 + zero("text_boost") + zero("word_boost") + F.col("similarity") * 0.1, F.lit(1.0))
+        has, count = F.coalesce("block_count", F.lit(0)) > 0, F.col("kind") == "count"
+        s = F.when(count & has, F.least(s + BLOCK_BOOST, F.lit(1.0))).when(count & (F.col("any_blocks") > ENOUGH_BLOCKS), floor(s - NO_BLOCK_PENALTY)).otherwise(s)
+        out = out.withColumn("qty_used", F.when(count & has, F.col("block_count").cast("double")).otherwise(F.col("qty_used")))
     s = F.when(F.col("lnorm").isin(GENERIC_LAYERS), floor(s - GENERIC_PENALTY)).otherwise(s)
     clash = (F.col("item_trade") != "UNKNOWN") & (F.col("layer_trade") != "UNKNOWN") & (F.col("item_trade") != F.col("layer_trade"))
     s = F.when(clash, floor(s - TRADE_PENALTY)).otherwise(s)
@@ -102,3 +118,11 @@ def match(bill: DataFrame, index: DataFrame) -> DataFrame:
     open_ = items.where(~is_header(F.col("description"), F.col("unit")) & (F.col("kind") != "service"))
     best = top(scored(pairs(open_, prepare_layers(index))), 1).select("row_index", "layer", "score", "next_score", "qty_used")
     return status(items.select("row_index", "description", "unit", "kind").join(best, "row_index", "left"))
+
+
+def matches_in_context(bill: DataFrame, index: DataFrame, boosted: DataFrame, blocks: DataFrame) -> DataFrame:
+    """The best layers of each item by words, texts near layers and blocks (layer, n) on them."""
+    items = prepare_items(bill).where(~is_header(F.col("description"), F.col("unit")) & (F.col("kind") != "service"))
+    n = blocks.groupBy("layer").agg(F.sum("n").alias("block_count"))
+    layers = prepare_layers(index).join(n, "layer", "left").join(F.broadcast(n.agg(F.sum("block_count").alias("any_blocks"))))  # one row
+    return top(scored(pairs(items, layers, boosted)))
