@@ -1,7 +1,7 @@
 """The engine's own queries and the SQL that each must agree with."""
 
-from mensura.plans import classify, context, domain, drawing, extra, kernels, scalar, space
+from mensura.plans import classify, context, domain, drawing, extra, kernels, records, scalar, space
 from mensura.plans.registry import QUERIES, SQL
 
 FLAGSHIP = "agg1_layer_takeoff_index"
-__all__ = ["FLAGSHIP", "QUERIES", "SQL", "classify", "context", "domain", "drawing", "extra", "kernels", "scalar", "space"]
+__all__ = ["FLAGSHIP", "QUERIES", "SQL", "classify", "context", "domain", "drawing", "extra", "kernels", "records", "scalar", "space"]

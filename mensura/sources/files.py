@@ -167,3 +167,19 @@ def write_bill(rows: DataFrame, bill: DataFrame) -> DataFrame:
     kept = rows.where("status NOT IN ('ignored', 'rejected')").select(F.col("id").alias("row_index"), "qty_final", "unit_price_ref")
     j = bill.join(kept, "row_index", "left")
     return j.select("row_index", "description", "unit", F.coalesce("qty_final", "qty").alias("qty"), F.coalesce("unit_price_ref", "price").alias("price"))
+
+
+#: Characters of windows-1252 at 80 to 9F (hexadecimal); five places hold none and stay as they are.
+WINDOWS_1252 = "€\x81‚ƒ„…†‡ˆ‰Š‹Œ\x8dŽ\x8f\x90‘’“”•–—˜™š›œ\x9džŸ"
+
+
+def decoded(content: Column) -> Column:
+    """Text of bytes: UTF-8 if they are valid, else windows-1252, where every byte is a character."""
+    latin = F.translate(F.decode(content, "ISO-8859-1"), "".join(chr(i) for i in range(0x80, 0xA0)), WINDOWS_1252)
+    return F.coalesce(F.try_validate_utf8(content.cast("string")), latin)
+
+
+def json_items(files: DataFrame, fields: str) -> DataFrame:
+    """Rows of files (file, value = a JSON array of objects) with the given fields; what is no array gives no rows."""
+    own = files.where(F.ltrim("value").startswith("["))
+    return own.select("file", F.inline(F.from_json("value", f"array<struct<{fields}>>")))
