@@ -62,25 +62,26 @@ LEAVES = f"""m AS (SELECT file, lower(layer) AS layer, NULL AS root, CASE kind W
 UNION ALL SELECT file, lower(layer), lower(layer), NULL, 2 * w FROM drawing_rows WHERE space = 0 AND {DOORS}
 UNION ALL SELECT file, 'inner', lower(layer), w * h, 2 * (w + h) FROM drawing_rows WHERE space = 0 AND {DOORS}),
 f AS (SELECT *, {FACTOR} AS k FROM m)"""
-SUMS = """SELECT file, 'area' AS type, layer, 'layer' AS evidence, round(sum(area * k * k), 6) AS value, NULL AS name FROM f WHERE area IS NOT NULL GROUP BY file, layer
-UNION ALL SELECT file, 'area', root, 'insert', round(sum(area * k * k), 6), NULL FROM f WHERE area IS NOT NULL AND root IS NOT NULL GROUP BY file, root
-UNION ALL SELECT file, 'length', layer, 'layer', round(sum(length * k), 6), NULL FROM f WHERE length IS NOT NULL GROUP BY file, layer
-UNION ALL SELECT file, 'length', root, 'insert', round(sum(length * k), 6), NULL FROM f WHERE length IS NOT NULL AND root IS NOT NULL GROUP BY file, root"""
+SUMS = """SELECT file, 'area' AS type, layer, 'layer' AS evidence, sum(area * k * k) AS value, NULL AS name FROM f WHERE area IS NOT NULL GROUP BY file, layer
+UNION ALL SELECT file, 'area', root, 'insert', sum(area * k * k), NULL FROM f WHERE area IS NOT NULL AND root IS NOT NULL GROUP BY file, root
+UNION ALL SELECT file, 'length', layer, 'layer', sum(length * k), NULL FROM f WHERE length IS NOT NULL GROUP BY file, layer
+UNION ALL SELECT file, 'length', root, 'insert', sum(length * k), NULL FROM f WHERE length IS NOT NULL AND root IS NOT NULL GROUP BY file, root"""
 COUNTS = f"""SELECT file, 'block' AS type, lower(layer) AS layer, 'insert count' AS evidence, count(*)::DOUBLE AS value, 'door' AS name FROM drawing_rows WHERE space = 0 AND {DOORS} GROUP BY file, lower(layer)
 UNION ALL SELECT file, 'block', 'inner', 'insert count', count(*), 'knob' FROM drawing_rows WHERE space = 0 AND {DOORS} GROUP BY file"""
 
 
-@register("src10_drawing_items", f"""WITH {LEAVES} {SUMS} UNION ALL {COUNTS}
-UNION ALL SELECT file, 'text', lower(layer), 'text', h, '{{\\fArial;Nivel}}\\P' || l_partkey FROM drawing_rows WHERE space = 0 AND kind = 7 AND l_partkey % 2 = 1""", "drawing_rows")
+@register("src10_drawing_items", f"""WITH {LEAVES} SELECT file, type, layer, evidence, name, round(value * 10000, 4) AS value_1e4 FROM ({SUMS} UNION ALL {COUNTS}
+UNION ALL SELECT file, 'text', lower(layer), 'text', h, '{{\\fArial;Nivel}}\\P' || l_partkey FROM drawing_rows WHERE space = 0 AND kind = 7 AND l_partkey % 2 = 1)""", "drawing_rows")
 def _(r):
     codes = _codes(r)
-    return rounded(D.items(S.entities(codes), _units(codes)), "value")
+    i = D.items(S.entities(codes), _units(codes))
+    return i.select("file", "type", "layer", "evidence", "name", F.round(F.col("value") * 10000, 4).alias("value_1e4"))
 
 
 @register("agg6_exploded_sums", f"WITH {LEAVES}, s AS ({SUMS}) SELECT layer, type, evidence, count(*) AS n, round(sum(value), 3) AS value FROM s GROUP BY ALL", "drawing_rows")
 def _(r):
     codes = _codes(r)
-    i = rounded(D.items(S.entities(codes), _units(codes)).where("type IN ('area', 'length')"), "value")
+    i = D.items(S.entities(codes), _units(codes)).where("type IN ('area', 'length')")
     return rounded(i.groupBy("layer", "type", "evidence").agg(F.count("*").alias("n"), F.sum("value").alias("value")), "value", digits=3)
 
 

@@ -48,6 +48,12 @@ def _(b):
     return rounded(W.mapping_score(W.bill_items(_cells(b))), "score")
 
 
+@register("src4_unit_scores", "WITH r AS (SELECT row_index % 20 AS file, row_index % 3 = 0 AS odd, row_number() OVER (PARTITION BY row_index % 20 ORDER BY row_index) AS rn FROM bill_items WHERE unit <> '') SELECT file::VARCHAR AS file, round(100 * avg(CASE WHEN odd THEN 0 ELSE 1 END), 6) AS score FROM r WHERE rn <= 20 GROUP BY file", "bill_items")
+def _(b):
+    odd = b.withColumn("unit", F.when((F.col("row_index") % 3 == 0) & (F.col("unit") != ""), F.concat("unit", F.lit("?"))).otherwise(F.col("unit")))
+    return rounded(W.unit_score(W.bill_items(_cells(odd))), "score")
+
+
 @register("src7_excluded_items", "SELECT row_index, row_index % 3 = 0 AS excluded FROM bill_items", "bill_items")
 def _(b):
     text = F.when(F.col("row_index") % 3 == 0, F.concat("description", F.lit(" (NO COTIZAR)"))).otherwise(F.col("description"))

@@ -94,10 +94,25 @@ def bill_items(cells: DataFrame) -> DataFrame:
     return rows.select("file", F.col("row").alias("row_index"), "description", "unit", "qty", "price", classify_row(F.col("description"), F.col("unit")).alias("row_type"), excluded(F.col("description")).alias("expected_excluded"))
 
 
-def mapping_score(items: DataFrame, most: int = 30) -> DataFrame:
-    """How well the first rows of a file fit their columns: 0.7 of known units and 0.3 of numeric quantities."""
+#: Units that speak for a column of units: of a mapping, of the column itself.
+MAPPING_UNITS = ["m", "ml", "m2", "m²", "m3", "m³", "u", "un", "und", "gl", "glb", "global"]
+COLUMN_UNITS = ["m", "ml", "m2", "m²", "m3", "m³", "u", "un", "und", "unidad", "unidades", "gl", "glb", "global", "pa", "est", "kg", "ton"]
+
+
+def _first(items: DataFrame, most: int) -> DataFrame:
     from pyspark.sql import Window
 
-    first = items.withColumn("rn", F.row_number().over(Window.partitionBy("file").orderBy("row_index"))).where(F.col("rn") <= most)
-    known = F.avg(classify_unit(F.col("unit"))["unit"].isNotNull().cast("double"))
-    return first.groupBy("file").agg((known * 0.7 + F.avg(F.col("qty").isNotNull().cast("double")) * 0.3).alias("score"))
+    return items.withColumn("rn", F.row_number().over(Window.partitionBy("file").orderBy("row_index"))).where(F.col("rn") <= most)
+
+
+def mapping_score(items: DataFrame, most: int = 30) -> DataFrame:
+    """How well the first rows of a file fit their columns: 0.7 of known units and 0.3 of quantities and prices that are numbers."""
+    known = F.avg(F.coalesce(F.lower(F.trim("unit")).isin(MAPPING_UNITS), F.lit(False)).cast("double"))
+    numbers = F.avg((F.col("qty").isNotNull().cast("double") + F.col("price").isNotNull().cast("double")) / 2)
+    return _first(items, most).groupBy("file").agg((known * 0.7 + numbers * 0.3).alias("score"))
+
+
+def unit_score(items: DataFrame, most: int = 20) -> DataFrame:
+    """Percentage of units among the first cells of a file's unit column that are not empty; files without one have no row."""
+    own = _first(items.where(F.trim("unit") != ""), most)
+    return own.groupBy("file").agg((F.avg(F.lower(F.trim("unit")).isin(COLUMN_UNITS).cast("double")) * 100).alias("score"))
