@@ -192,3 +192,13 @@ def test_unit_factors(spark):
     rows = [(4, "m", 1.0, 0.001, "High"), (0, " CM ", 9.0, 0.01, "Medium"), (0, None, 5001.0, 0.001, "Medium"), (0, "ell", 2000.0, 1.0, "Low"), (None, None, None, 1.0, "Medium"), (9, "mm", 1.0, 1.0, "Low")]
     got = spark.createDataFrame(rows, "code int, hint string, size double, factor double, confidence string").select("factor", "confidence", D.unit_factor(F.col("code"), F.col("hint"), F.col("size")).alias("u")).collect()
     assert all(r["u"]["factor"] == r["factor"] and r["u"]["confidence"] == r["confidence"] for r in got)
+
+
+def test_matches_in_context_at_any_number_of_layers(spark, monkeypatch):
+    from mensura import queries as core
+    from mensura.operators import matching as M
+
+    run = lambda: sorted(map(tuple, core.QUERIES["jn35_matches_in_context"](spark, "/root/testdata/sf0.001").collect()))
+    small = run()
+    monkeypatch.setattr(M, "BROADCAST_LAYERS", 0)
+    assert run() == small and small
