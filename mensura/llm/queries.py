@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from mensura.llm.ann_search import op10_ann_search
+from mensura.llm.centroid_clustering import op11_centroid_clustering, op11_sql
 from mensura.llm.chat_format import OP7_SQL, op7_chat_format
+from mensura.llm.conversation_repair import op12_conversation_repair, op12_sql
 from mensura.llm.exact_search import OP5_SQL, op5_exact_search
 from mensura.llm.language_id import op9_language_id
 from mensura.llm.mixing import op1_mixing
@@ -24,8 +26,10 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_language_id": op9_language_id,
     "op10_ann_search": op10_ann_search,
+    "op11_centroid_clustering": op11_centroid_clustering,
+    "op12_conversation_repair": op12_conversation_repair,
 }
 
 
 def sql() -> dict[str, str]:
-    return {"op4_url_filter": op4_sql(), "op5_exact_search": OP5_SQL, "op7_chat_format": OP7_SQL}
+    return {"op4_url_filter": op4_sql(), "op5_exact_search": OP5_SQL, "op7_chat_format": OP7_SQL, "op11_centroid_clustering": op11_sql(), "op12_conversation_repair": op12_sql()}
