@@ -10,6 +10,7 @@ from mensura.llm.exact_search import OP5_SQL, op5_exact_search
 from mensura.llm.language_id import op9_language_id
 from mensura.llm.mixing import op1_mixing
 from mensura.llm.packing import op8_packing
+from mensura.llm.phrase_fingerprint import op13_phrase_fingerprint
 from mensura.llm.pii import op2_pii
 from mensura.llm.shingle_join import op3_ngram_jaccard_join
 from mensura.llm.substring_dedup import op6_substring_dedup
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_ann_search": op10_ann_search,
     "op11_centroid_clustering": op11_centroid_clustering,
     "op12_conversation_repair": op12_conversation_repair,
+    "op13_phrase_fingerprint": op13_phrase_fingerprint,
 }
 
 
