@@ -16,8 +16,8 @@ texts are judged whole, in pieces of the same recursion, and other columns are i
 
 from __future__ import annotations
 
+import itertools
 import re
-import sys
 import zlib
 from collections import Counter
 
@@ -28,9 +28,8 @@ from pyspark.sql import functions as F
 from mensura.llm.common import mix, resident, tune
 
 TRAIN_DOCS, BUCKETS, ORDER, SWITCH, SCRIPT_SHARE, UND = 3000, 1 << 15, 4, 8.0, 0.02, "und"
-#: What counts as a word character but is neither a letter, a digit nor an underscore: numerals as in fractions or Roman ones.
-_NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-WORD = re.compile(rf"[^\W\d_{re.escape(_NUMERALS)}]+")
+#: Letters and numerals (as in fractions or Roman ones), which count as word characters but are neither letters, digits nor underscores.
+WORD = re.compile(r"[^\W\d_]+")
 #: Code-point ranges of scripts.
 SCRIPTS = [
     ("latin", 0x41, 0x24F), ("greek", 0x370, 0x3FF), ("cyrillic", 0x400, 0x52F), ("armenian", 0x530, 0x58F), ("hebrew", 0x590, 0x5FF),
@@ -46,6 +45,27 @@ def scripts_of(points: np.ndarray) -> np.ndarray:
     return np.where((at >= 0) & (points <= highs[np.maximum(at, 0)]), at, len(SCRIPTS))
 
 
+def words_at(text: str | None) -> tuple[list[str], list[int]]:
+    """The words of a text in lower case, runs of letters, and where each starts."""
+    found = list(WORD.finditer((text or "").lower()))
+    words, starts = [m.group() for m in found], [m.start() for m in found]
+    if all(map(str.isalpha, words)):
+        return words, starts
+    whole, words, starts = zip(words, starts, strict=True), [], []
+    for run, at in whole:  # rare: numerals cut a run
+        for letters, own in itertools.groupby(enumerate(run), lambda x: x[1].isalpha()):
+            own = list(own)
+            if letters:
+                words.append("".join(c for _, c in own))
+                starts.append(at + own[0][0])
+    return words, starts
+
+
+def words_of(text: str | None) -> list[str]:
+    words = WORD.findall((text or "").lower())
+    return words if "".join(words).isalpha() or not words else words_at(text)[0]
+
+
 NAMES = [*(name for name, _, _ in SCRIPTS), "other"]
 
 
@@ -100,7 +120,7 @@ def _count(batches):
     for batch in batches:
         words: dict[str, Counter] = {}
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            words.setdefault(lang, Counter()).update(WORD.findall((text or "").lower()))
+            words.setdefault(lang, Counter()).update(words_of(text))
         for lang, c in words.items():
             if not c:
                 continue
@@ -219,7 +239,7 @@ class Labeller:
         """(number of words of each text, labels of all words, their scores)."""
         sizes, parts, words = [], [], []
         for t in texts:
-            own = WORD.findall((t or "").lower()) if self.model.langs else []
+            own = words_of(t) if self.model.langs else []
             sizes.append(len(own))
             words += own
             if len(words) > 50_000:
@@ -300,12 +320,12 @@ def _spans(batches, blob: bytes):
         for text, n in zip(texts, sizes.tolist(), strict=True):
             own, spans = labels[at : at + n].tolist(), []
             at += n
-            for k, m in zip(own, WORD.finditer((text or "").lower()), strict=False):
+            for k, word, start in zip(own, *words_at(text), strict=False):
                 lang = labeller.model.langs[k]
                 if spans and spans[-1]["lang"] == lang:
-                    spans[-1]["end"] = m.end()
+                    spans[-1]["end"] = start + len(word)
                 else:
-                    spans.append({"start": m.start(), "end": m.end(), "lang": lang})
+                    spans.append({"start": start, "end": start + len(word), "lang": lang})
             rows.append(spans)
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, kind)], [*batch.schema.names, "spans"])
 

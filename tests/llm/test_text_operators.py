@@ -420,12 +420,30 @@ def test_viterbi_is_best():
                 assert abs(own[np.arange(n), q].sum() - 4.0 * (q[1:] != q[:-1]).sum() - best.max()) < 1e-9
 
 
+def test_words_are_runs_of_letters_in_linear_time():
+    import sys
+    import time
+
+    marks = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+    slow = re.compile(rf"[^\W\d_{re.escape(marks)}]+")
+    rng = random.Random(4)
+    texts = ["", None, "½", "a½b", "Ⅳ x", "12 a_b", "l’été 漢字 ²³ x²y", *("".join(rng.choice("abÉ漢½Ⅳ²①1_ .") for _ in range(60)) for _ in range(300))]
+    for t in texts:
+        found = list(slow.finditer((t or "").lower()))
+        assert language_id.words_of(t) == [m.group() for m in found]
+        assert language_id.words_at(t) == ([m.group() for m in found], [m.start() for m in found])
+    long = "".join(rng.choice("abcdefgh ") for _ in range(2_000_000))
+    began = time.process_time()
+    language_id.words_of(long)
+    assert time.process_time() - began < 2  # 2 million characters; the slow pattern takes more
+
+
 def test_mixed_text_has_spans(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = language_id.train(d)
     sure = language_id.identify(d.where("length(text) > 2000"), model).where("score > 0.9999 AND lang = lang_pred")
     by = {r["lang"]: r["text"] for r in sure.orderBy("doc_id").collect()}
-    en, de = (language_id.WORD.findall(by[k])[:80] for k in ("en", "de"))
+    en, de = (language_id.words_of(by[k])[:80] for k in ("en", "de"))
     sizes, labels, _ = language_id.Labeller(model).spans([" ".join(en + de)])
     assert sizes.tolist() == [160]
     share = [(np.array([model.langs[k] for k in h]) == lang).mean() for h, lang in zip((labels[:80], labels[80:]), ("en", "de"))]
