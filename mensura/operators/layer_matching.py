@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from mensura.functions import text as T
 from mensura.functions import units as U
+from mensura.operators import fuzzy as Z
 from mensura.operators import quality as Q
 from mensura.operators import service as V
 
@@ -16,29 +15,6 @@ THRESHOLD, ACCEPT, MOST = 0.6, 0.4, 5
 WALL_WORDS = ["muro", "tabique", "pared"]
 
 
-@F.pandas_udf(DoubleType())
-def approximate_distance(pattern: pd.Series, text: pd.Series) -> pd.Series:
-    """Fewest edits that make the pattern a part of the text, over the pattern's length: what a bit-parallel search finds.
-
-    Meant for distinct pairs of names.
-    """
-
-    def one(p: str, t: str) -> float:
-        if not p:
-            return 1.0
-        row = list(range(len(p) + 1))
-        best = row[-1]
-        for c in t:
-            last, row[0] = row[0], 0
-            for i, d in enumerate(p, 1):
-                last, row[i] = row[i], min(last + (c != d), row[i] + 1, row[i - 1] + 1)
-            best = min(best, row[-1])
-        return best / len(p)
-
-    memo: dict = {}
-    return pd.Series([memo[k] if (k := (p or "", t or "")) in memo else memo.setdefault(k, one(*k)) for p, t in zip(pattern, text, strict=True)])
-
-
 def dominant_kind() -> Column:
     return F.when(F.col("total_area") > 0, "AREA").when(F.col("total_length") > 0, "LENGTH").when(F.col("block_count") > 0, "BLOCK")
 
@@ -46,11 +22,12 @@ def dominant_kind() -> Column:
 def candidates(items: DataFrame, profiles: DataFrame) -> DataFrame:
     """Items (row_index, description, type) beside the layers that can give their type and whose name is near a word of theirs.
 
-    Names meet in the dictionary of distinct words and layers, so a pair of names is compared once, whatever the bill's size.
+    Distinct words and layers meet by an index of their letters that loses no pair, so a pair of names is compared once, whatever the bill's size.
     """
     words = items.select(F.explode(T.tokens(T.normalize_text(F.col("description")))).alias("word")).distinct()
     layers = profiles.select("layer", T.normalize_text(F.col("layer")).alias("lnorm"))
-    near = words.join(F.broadcast(layers)).withColumn("d", approximate_distance("word", "lnorm")).where(F.col("d") <= THRESHOLD)
+    found = Z.near_parts(words.select(F.col("word").alias("l")), layers.select(F.col("lnorm").alias("r")), THRESHOLD)
+    near = found.select(F.col("l").alias("word"), F.col("r").alias("lnorm"), "d").join(layers, "lnorm")
     own = items.withColumn("word", F.explode(T.tokens(T.normalize_text(F.col("description")))))
     best = own.join(near, "word").groupBy("row_index", "layer").agg(F.min("d").alias("d"))
     ok = (

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from mensura.functions.text import contains_any
+from mensura.operators import fuzzy as Z
 
 #: Least, most, typical least, typical most by unit; other units have those of m2.
 RANGES = {"m2": (0.1, 2000.0, 1.0, 500.0), "m²": (0.1, 2000.0, 1.0, 500.0), "ml": (0.1, 1000.0, 0.5, 200.0), "m": (0.1, 1000.0, 0.5, 200.0), "un": (1.0, 1000.0, 1.0, 100.0), "gl": (0.1, 100.0, 1.0, 10.0)}
@@ -155,6 +156,18 @@ def fuzzy_score(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([one(x or "", y or "") for x, y in zip(a, b, strict=True)])
 
 
+def fuzzy_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """(l, r, score): all pairs of normalised names with a fuzzy score of at least the threshold, above 0.3.
+
+    Pairs without a word in common and of which none is a part of the other score their sequence ratio; that bounds their letters in common.
+    """
+    word = lambda c: F.explode(F.array_distinct(F.split(c, " "))).alias("w")
+    l, r = left.select("l").where("l <> ''").distinct(), right.select("r").where("r <> ''").distinct()
+    shared = l.select("l", word("l")).join(r.select("r", word("r")), "w").select("l", "r")
+    met = shared.unionByName(Z.contained(l, r)).unionByName(Z.near_ratios(l, r, threshold)).distinct()
+    return met.withColumn("score", fuzzy_score("l", "r")).where(F.col("score") >= threshold)
+
+
 def family(term: Column) -> Column:
     """All words of a term's family; empty for others."""
     own, out = normalize_words(term), F.array().cast("array<string>")
@@ -163,16 +176,10 @@ def family(term: Column) -> Column:
     return out
 
 
-def letters_of(c: Column) -> Column:
-    """The different letters of a text."""
-    return F.array_distinct(F.filter(F.split(c, ""), lambda x: x != ""))
-
-
 def semantic_matches(terms: DataFrame, names: DataFrame, threshold: float = 0.5) -> DataFrame:
     """(term, name, score, strategy): equal, by family, else fuzzy from a threshold above 0, for dictionaries of any size.
 
-    A ratio above 0 needs a letter in common and lengths within (2 - threshold) / threshold of each other, so terms and names
-    meet in an equi-join on their letters; equal ones and families meet on theirs.
+    Terms and names meet by an index of their letters that loses no pair at the threshold; equal ones and families meet on theirs.
     """
     t = terms.withColumn("t", normalize_words(F.col("term"))).withColumn("f", family(F.col("term")))
     n = names.withColumn("n", normalize_words(F.col("name")))
@@ -181,9 +188,8 @@ def semantic_matches(terms: DataFrame, names: DataFrame, threshold: float = 0.5)
     words = sorted({w for k, ws in FAMILIES.items() for w in (k, *ws)})
     marked = n.withColumn("w", F.explode(F.array_compact(F.array(*[F.when(F.col("n").contains(w), F.lit(w)) for w in words]))))
     synonym = t.select("term", "t", F.explode("f").alias("w")).join(marked, "w").where("t <> n").select("term", "name").distinct()
-    far = (2 - threshold) / threshold
-    met = t.select("term", "t", F.explode(letters_of(F.col("t"))).alias("c")).join(n.select("name", "n", F.explode(letters_of(F.col("n"))).alias("c")), "c")
-    met = met.where((F.length("t") <= far * F.length("n")) & (F.length("n") <= far * F.length("t")) & (F.col("t") != F.col("n"))).select("term", "name", "t", "n").distinct()
+    near = Z.near_ratios(t.select(F.col("t").alias("l")), n.select(F.col("n").alias("r")), threshold).where("l <> r")
+    met = near.join(t.select("term", F.col("t").alias("l")), "l").join(n.select("name", F.col("n").alias("r")), "r").select("term", "name", F.col("l").alias("t"), F.col("r").alias("n"))
     rest = met.join(synonym, ["term", "name"], "left_anti").select("term", "name", sequence_ratio("t", "n").alias("score")).where(F.col("score") >= threshold)
     sure = exact.unionByName(synonym.select("term", "name", F.lit(0.95).alias("score"), F.lit("synonym").alias("strategy")))
     return sure.unionByName(rest.withColumn("strategy", F.lit("fuzzy")))

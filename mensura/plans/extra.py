@@ -141,11 +141,9 @@ def _(b):
 
 @register("sim6_fuzzy_pairs", None, "bill_items", "takeoff_rows")
 def _(b, rows):
-    # Whole descriptions beside the layers that share a word with them: all others can't be compared in a useful way.
-    word = lambda c: F.explode(F.array_distinct(F.split(V.normalize_words(F.col(c)), " "))).alias("w")
-    d, layers = b.select(F.col("description").alias("d")).distinct(), rows.select("layer").distinct()
-    met = d.select("d", word("d")).join(layers.select("layer", word("layer")), "w").select("d", "layer").distinct()
-    return met.select("d", "layer", F.round(V.fuzzy_score(V.normalize_words(F.col("d")), V.normalize_words(F.col("layer"))), 6).alias("score"))
+    left = b.select(V.normalize_words(F.col("description")).alias("l")).distinct()
+    right = rows.select("layer").distinct().select(V.normalize_words(F.col("layer")).alias("r"))
+    return rounded(V.fuzzy_pairs(left, right, 0.5).select(F.col("l").alias("d"), F.col("r").alias("layer"), "score"), "score")
 
 
 @register("sim7_semantic_matches", None, "bill_items", "takeoff_rows")

@@ -68,6 +68,8 @@ FROM lineitem JOIN supplier ON l_suppkey = s_suppkey""",
     "segments": """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_partkey % 40 AS DOUBLE) AS x1, CAST(l_suppkey % 40 AS DOUBLE) AS y1,
   CAST(l_partkey % 40 AS DOUBLE) + CAST(l_linenumber AS DOUBLE) AS x2, CAST(l_suppkey % 40 AS DOUBLE) + CAST(l_orderkey % 3 AS DOUBLE) AS y2, l_returnflag AS layer
 FROM lineitem""",
+    "grid_marks": """SELECT DISTINCT CAST(c_nationkey AS STRING) || '-' || c_mktsegment AS layer, CAST(c_custkey % 97 AS DOUBLE) AS x, CAST(CAST(floor(abs(c_acctbal)) AS BIGINT) % 89 AS DOUBLE) AS y, c_custkey % 7 = 0 AS square
+FROM customer""",
     "drawing_rows": """SELECT l_orderkey AS file, l_linenumber, l_partkey, l_suppkey, CAST(l_linenumber AS INT) AS kind, CAST(l_partkey % 40 AS DOUBLE) AS x, CAST(l_suppkey % 40 AS DOUBLE) AS y,
   1.0 + l_linenumber + l_suppkey % 3 AS w, 1.0 + l_partkey % 5 AS h, CASE l_returnflag WHEN 'A' THEN 'Muro' WHEN 'R' THEN 'A-PISO' ELSE '0' END AS layer, CASE WHEN l_suppkey % 10 = 0 THEN 1 ELSE 0 END AS space
 FROM lineitem""",
@@ -95,3 +97,13 @@ def with_views(sql: str, *names: str) -> str:
     if sql[:5].upper() == "WITH ":
         return f"WITH {', '.join(own)}, {sql[5:]}"
     return f"WITH {', '.join(own)} {sql}"
+
+
+def read_stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A warehouse table as a stream of its files: those in its folder, or the one file that it is."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{table}.parquet")
+    schema = spark.read.parquet(f"{sf_dir}/{table}.parquet").schema
+    source = spark.readStream.schema(schema)
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
+        return source.parquet(f"{sf_dir}/{table}.parquet")
+    return source.option("pathGlobFilter", f"{table}.parquet").parquet(sf_dir)

@@ -6,8 +6,10 @@ import random
 from pyspark.sql import functions as F
 
 from mensura.operators import cleanup as C
+from mensura.operators import fuzzy as Z
 from mensura.operators import graph as G
 from mensura.operators import layer_matching as L
+from mensura.operators import planar as P
 from mensura.operators import takeoff as K
 from mensura.sources.adapters import view
 
@@ -46,7 +48,7 @@ def test_faces_of_a_grid(spark):
     n = 4
     rows = [(x, y, x + 1, y) for x, y in itertools.product(range(n), range(n + 1))] + [(x, y, x, y + 1) for x, y in itertools.product(range(n + 1), range(n))]
     rows += [(20, 20, 23, 20), (23, 20, 23, 24), (23, 24, 20, 20), (50, 50, 51, 50)]
-    out = C.regions(lines(spark, rows)).collect()
+    out = P.regions(lines(spark, rows)).collect()
     assert sorted(round(r["area"], 6) for r in out) == [1.0] * (n * n) + [6.0] and abs(sum(r["perimeter"] for r in out) - 4 * n * n - 12) < 1e-9
 
 
@@ -69,7 +71,7 @@ def test_resolutions(spark):
 
 def test_approximate_distance(spark):
     d = spark.createDataFrame([("muro", "a muros b"), ("muro", "mxro"), ("muro", ""), ("", "x")], "p string, t string")
-    assert [round(r[0], 2) for r in d.select(L.approximate_distance("p", "t")).collect()] == [0.0, 0.25, 1.0, 1.0]
+    assert [round(r[0], 2) for r in d.select(Z.part_distance("p", "t")).collect()] == [0.0, 0.25, 1.0, 1.0]
 
 
 def test_wall_prefers_wall_layer(spark):
