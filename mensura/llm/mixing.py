@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from mensura.llm.common import NO_ID, checkpoint, rows_with_key, tune
 
 WEIGHTS, SHARE, MOST, GROUP = (3.0, 1.0, 2.0), 1.5, 2.0, 8192
-NEXT, OPEN, TRIES = 256, 16, 64
+NEXT, OPEN, TRIES, CLOSE = 256, 16, 64, 0.002
 #: Rates of at most so many sources are broadcast; beyond that, both sides are dealt by source and salt.
 SOURCES, SALTS = 100_000, 32
 
@@ -118,17 +118,25 @@ def settle(p: np.ndarray, z: np.ndarray, rng: np.random.Generator) -> np.ndarray
     In triples a large document stays open to the end, as its neighbours reach 0 or 1 before, and rounding it would miss the
     words by its size.  So here each step moves the largest open document and all smaller ones against it, by the least
     change (weighted by their room) that keeps both totals, until one of them is 0 or 1.  The last OPEN documents are the
-    landing problem: TRIES flights to the end and their roundings are drawn, and the one that misses the totals least is taken.  So the
-    flight keeps every probability on average, and the landing gives that up for at most OPEN documents of a source.
+    landing problem: TRIES flights to the end and their roundings are drawn, and the one that misses the words least is taken, of those
+    that miss them by less than CLOSE the one that misses the documents least.  If none comes so close, as when one document is a large
+    part of a small source, twice as many documents are left open, and so on up to all.  So the flight keeps every probability on average,
+    and the landing gives that up for few documents of a source, or for a small source.
     """
-    due = np.array([p.sum(), p @ z])
-    p, best = fly(p, z, rng, OPEN), None
-    for _ in range(TRIES if ((p > 0) & (p < 1)).any() else 1):
-        out = land(fly(p, z, rng, 2), rng)
-        cost = abs(out @ z - due[1]) + max(0.0, abs(out.sum() - due[0]) - 1) * z.max(initial=0.0)
-        if best is None or cost < best[0]:
-            best = cost, out
-    return best[1]
+    due, open_ = np.array([p.sum(), p @ z]), OPEN
+    near = CLOSE * max(due[1], 1.0)
+    while True:
+        start, best = fly(p, z, rng, open_), None
+        left = int(((start > 0) & (start < 1)).sum())
+        for _ in range(TRIES if left else 1):
+            out = land(fly(start, z, rng, 2), rng)
+            words = abs(out @ z - due[1])
+            cost = max(0.0, words - near), max(0.0, abs(out.sum() - due[0]) - 1), words
+            if best is None or cost < best[0]:
+                best = cost, out
+        if best[0][0] == 0 or left < open_ or open_ >= len(p):
+            return best[1]
+        open_ *= 2
 
 
 def fly(p: np.ndarray, z: np.ndarray, rng: np.random.Generator, open_: int) -> np.ndarray:

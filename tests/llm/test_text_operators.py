@@ -273,6 +273,12 @@ def test_mix_reaches_its_targets(spark, corpus):
     assert out.columns == d.columns and out.count() == sum(r["copies"] for r in got)
 
 
+def test_small_sources_come_close_to_their_targets(spark):
+    """Sources of 50 documents, of which one may be a sixth of all words."""
+    rows = mixing.op1_mixing(spark, "/root/testdata/sf0.01").groupBy("source").agg(F.first("target").alias("t"), F.sum("taken").alias("k")).collect()
+    assert max(abs(r["k"] - r["t"]) / r["t"] for r in rows) <= 0.01
+
+
 def test_water_filling(spark):
     sizes = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 1000), (None, 4)], "source string, source_size long")
     got = {r["source"]: round(r["target"], 6) for r in mixing.targets(sizes).collect()}
