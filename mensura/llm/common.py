@@ -186,6 +186,19 @@ _RESIDENT: dict = {}
 def resident(key, make):
     """What a Python worker keeps from task to task: one object, so that the memory of one stage isn't there in the next."""
     if key not in _RESIDENT:
-        _RESIDENT.clear()
+        if _RESIDENT:
+            _RESIDENT.clear()
+            give_back()
         _RESIDENT[key] = make()
     return _RESIDENT[key]
+
+
+def give_back() -> None:
+    """Returns what is free in this process to the system, where the C library can."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
