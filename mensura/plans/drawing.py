@@ -5,10 +5,13 @@ The oracle measures the lines themselves, so every query is a round trip through
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mensura.operators import drawing as D
+from mensura.operators.graph import shared_folder
 from mensura.plans.registry import register, rounded
 from mensura.sources import files as S
 
@@ -70,6 +73,16 @@ COUNTS = f"""SELECT file, 'block' AS type, lower(layer) AS layer, 'insert count'
 UNION ALL SELECT file, 'block', 'inner', 'insert count', count(*), 'knob' FROM drawing_rows WHERE space = 0 AND {DOORS} GROUP BY file"""
 
 
+@register("src11_split_drawings", f"SELECT {TYPE} AS type, lower(layer) AS layer, count(*) AS n, CAST(sum({CORNERS}) AS BIGINT) AS corners, CAST(round(sum(CASE WHEN kind IN (4, 5) THEN w END), 6) AS DOUBLE) AS radii FROM drawing_rows GROUP BY 1, 2", "drawing_rows")
+def _(rows):
+    # All drawings behind each other in a few files, which are read by blocks and worked on in parts that know nothing of where a drawing ends.
+    path = f"{shared_folder(rows.sparkSession)}/drawings-{uuid.uuid4().hex}"
+    _texts(rows).select("value").write.text(path)
+    e = S.entities(S.split_codes(rows.sparkSession, path, 20_000)).where("section = 'ENTITIES'")
+    own = e.groupBy("type", F.lower("layer").alias("layer")).agg(F.count("*").alias("n"), F.sum(F.size("points")).alias("corners"), F.sum(F.when(F.col("type").isin("CIRCLE", "ARC"), F.col("radius"))).alias("radii"))
+    return rounded(own, "radii")
+
+
 @register("src10_drawing_items", f"""WITH {LEAVES} SELECT file, type, layer, evidence, name, round(value * 10000, 4) AS value_1e4 FROM ({SUMS} UNION ALL {COUNTS}
 UNION ALL SELECT file, 'text', lower(layer), 'text', h, '{{\\fArial;Nivel}}\\P' || l_partkey FROM drawing_rows WHERE space = 0 AND kind = 7 AND l_partkey % 2 = 1)""", "drawing_rows")
 def _(r):

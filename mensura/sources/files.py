@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from mensura.functions.text import strip_accents
 from mensura.functions.units import classify_unit
+from mensura.operators.graph import checkpoint
 
 TAKEOFF = "layer string, name string, cnt double, area double, length double, closed boolean, color string"
 
@@ -52,28 +53,72 @@ def group_codes(drawings: DataFrame) -> DataFrame:
     return lines.select("file", F.inline(pairs)).where(F.col("code").rlike(r"^\d+$")).withColumn("code", F.col("code").cast("int"))
 
 
+def split_codes(spark: SparkSession, path: str, lines: int = 100_000) -> DataFrame:
+    """(file, part, line, code, value) of drawing files that many tasks read: group_codes for drawings of any size.
+
+    A file is read in blocks, each by one task.  How many lines the blocks before it have (one number for each block) gives a line its number,
+    and so its place in a pair.  Parts of so many lines are what the windows of entities() run over.
+    """
+    read = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    read = checkpoint(read)
+    blocks = read.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = blocks.select("file", "block", (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first")).alias("shift"))
+    text = F.replace(F.replace("value", F.lit("\ufeff")), F.lit("\0"))
+    numbered = read.join(offsets, ["file", "block"]).select("file", (F.col("at") + F.col("shift")).alias("no"), text.alias("value"))
+    pairs = numbered.groupBy("file", F.floor(F.col("no") / 2).alias("line")).agg(F.max(F.when(F.col("no") % 2 == 0, F.trim("value"))).alias("code"), F.max(F.when(F.col("no") % 2 == 1, F.col("value"))).alias("value"))
+    whole = pairs.where(F.col("code").rlike(r"^\d+$") & F.col("value").isNotNull())
+    return whole.select("file", F.floor(F.col("line") / lines).alias("part"), F.col("line").cast("int").alias("line"), F.col("code").cast("int").alias("code"), "value")
+
+
+def _running(rows: DataFrame, sums: dict[str, Column], lasts: dict[str, Column]) -> DataFrame:
+    """Adds running sums and the last values so far, in the order of a file's lines.
+
+    Where a file has parts, each is a window of its own, and what the parts before it give (one row for each part) is carried into it.
+    """
+    parts = [c for c in ("part",) if c in rows.columns]
+    w = Window.partitionBy("file", *parts).orderBy("line")
+    rows = rows.withColumns({k: F.sum(c).over(w) for k, c in sums.items()} | {k: F.last(c, True).over(w) for k, c in lasts.items()})
+    if not parts:
+        return rows
+    rows = checkpoint(rows)
+    ends = rows.groupBy("file", "part").agg(F.max_by(F.struct(*sums, *lasts), "line").alias("e"))
+    earlier = Window.partitionBy("file").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select("file", "part", *[F.sum(f"e.{k}").over(earlier).alias(f"_{k}") for k in sums], *[F.last(f"e.{k}", True).over(earlier).alias(f"_{k}") for k in lasts])
+    out = rows.join(carried, ["file", "part"])
+    full = {k: F.col(k) + F.coalesce(f"_{k}", F.lit(0)) for k in sums} | {k: F.coalesce(k, f"_{k}") for k in lasts}
+    return out.withColumns(full).drop(*[f"_{k}" for k in full])
+
+
+def _followed(rows: DataFrame) -> DataFrame:
+    """Adds next, the code and value of the following line of a file; over the end of a part, from the first line of the next."""
+    parts = [c for c in ("part",) if c in rows.columns]
+    out = rows.withColumn("next", F.lead(F.struct("code", "value")).over(Window.partitionBy("file", *parts).orderBy("line")))
+    if not parts:
+        return out
+    heads = rows.groupBy("file", "part").agg(F.min_by(F.struct("code", "value"), "line").alias("_head"))
+    heads = heads.withColumn("part", F.lag("part").over(Window.partitionBy("file").orderBy("part"))).where("part IS NOT NULL")
+    return out.join(heads, ["file", "part"], "left").withColumn("next", F.coalesce("next", "_head")).drop("_head")
+
+
 def entities(codes: DataFrame) -> DataFrame:
     """One row for each entity: section, block, type, the first value of the codes that the engine uses, and its points.
 
     points are structs (line, ring, x, y) in the order of the file: the corners of a light polyline, the VERTEX rows of an old
     one (which are no entities of their own), and of a hatch the corners of its polyline paths, ring 1 being the outer one.
-    Elevation and seed points of a hatch and its edge paths are no corners.  All steps keep the partitioning by file.
+    Elevation and seed points of a hatch and its edge paths are no corners.  Of whole files all steps keep the partitioning by file; the codes of
+    split_codes are worked on in parts, and only an entity's own lines meet.
     """
-    w = Window.partitionBy("file").orderBy("line")
     code, value = F.col("code"), F.trim("value")
-    m = codes.withColumns({
-        "entity": F.sum((code == 0).cast("int")).over(w), "kind": F.last(F.when(code == 0, value), True).over(w),
-        "y": F.when(F.lead("code").over(w) == code + 10, F.lead("value").over(w)).try_cast("double"),
-    })
+    m = _followed(codes).withColumn("y", F.when(F.col("next.code") == code + 10, F.col("next.value")).try_cast("double")).drop("next")
+    m = _running(m, {"entity": (code == 0).cast("int")}, {"kind": F.when(code == 0, value)})
     hatch = F.col("kind") == "HATCH"
-    m = m.withColumns({
-        "section": F.last(F.when((code == 2) & (F.col("kind") == "SECTION"), value), True).over(w),
-        "block": F.last(F.when((code == 2) & (F.col("kind") == "BLOCK"), value), True).over(w),
-        "line_work": F.last(F.when((code == 0) & (value == "POLYLINE"), F.col("entity")), True).over(w),
-        "path": F.last(F.when(code == 0, 0).when(hatch & (code == 92), value.try_cast("int")).when(hatch & (code == 98), 0), True).over(w),
-        "paths": F.count_if(hatch & (code == 92)).over(w),
+    m = _running(m, {"paths": (hatch & (code == 92)).cast("int")}, {
+        "section": F.when((code == 2) & (F.col("kind") == "SECTION"), value), "block": F.when((code == 2) & (F.col("kind") == "BLOCK"), value),
+        "line_work": F.when((code == 0) & (value == "POLYLINE"), F.col("entity")),
+        "path": F.when(code == 0, 0).when(hatch & (code == 92), value.try_cast("int")).when(hatch & (code == 98), 0),
     })
-    m = m.withColumn("before", F.last(F.when(code == 0, F.col("paths")), True).over(w))
+    m = _running(m, {}, {"before": F.when(code == 0, F.col("paths"))})
     corner = (code == 10) & (F.col("kind").isin("LWPOLYLINE", "VERTEX") | (hatch & (F.col("path").bitwiseAND(2) > 0)))
     m = m.withColumns({
         "entity": F.when(F.col("kind").isin("VERTEX", "SEQEND"), F.coalesce("line_work", "entity")).otherwise(F.col("entity")),
@@ -92,8 +137,7 @@ def entities(codes: DataFrame) -> DataFrame:
 
 def header_values(codes: DataFrame) -> DataFrame:
     """(file, insunits, min_x, min_y, max_x, max_y): unit code and extents that the headers of drawings state."""
-    w = Window.partitionBy("file").orderBy("line")
-    m = codes.withColumn("variable", F.last(F.when(F.col("code") == 9, F.trim("value")).when(F.col("code") == 0, ""), True).over(w))
+    m = _running(codes, {}, {"variable": F.when(F.col("code") == 9, F.trim("value")).when(F.col("code") == 0, "")})
     at = lambda v, c: F.max(F.when((F.col("variable") == v) & (F.col("code") == c), F.trim("value"))).try_cast("double")
     return m.groupBy("file").agg(at("$INSUNITS", 70).cast("int").alias("insunits"), at("$EXTMIN", 10).alias("min_x"), at("$EXTMIN", 20).alias("min_y"), at("$EXTMAX", 10).alias("max_x"), at("$EXTMAX", 20).alias("max_y"))
 

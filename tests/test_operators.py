@@ -1,6 +1,7 @@
 """Hand-checked cases, properties, files and streams."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -202,3 +203,29 @@ def test_matches_in_context_at_any_number_of_layers(spark, monkeypatch):
     small = run()
     monkeypatch.setattr(M, "BROADCAST_LAYERS", 0)
     assert run() == small and small
+
+
+def test_a_drawing_read_in_blocks(spark, tmp_path):
+    """Borders of blocks and parts fall anywhere: between a code and its value, within corners, paths and old polylines."""
+    rng = random.Random(7)
+    body = []
+    for k in range(120):
+        body += rng.choice([
+            ["0", "LINE", "8", f"l{k % 3}", "10", str(k), "20", "1", "11", "2", "21", "3"], HATCHED[HATCHED.index("HATCH") - 1 : HATCHED.index("HATCH") + 30] if "HATCH" in HATCHED else ["0", "POINT"],
+            ["0", "LWPOLYLINE", "8", "a", "70", "1", *[x for i in range(9) for x in ("10", str(i), "20", str(i * i))]],
+            ["0", "POLYLINE", "8", "b", *[x for i in range(5) for x in ("0", "VERTEX", "10", str(i), "20", "7")], "0", "SEQEND", "8", "b"],
+            ["0", "ENDSEC", "0", "SECTION", "2", "BLOCKS", "0", "BLOCK", "2", f"b{k}", "0", "TEXT", "1", "word", "0", "ENDBLK", "0", "ENDSEC", "0", "SECTION", "2", "ENTITIES"],
+        ])
+        body = body[: len(body) // 2 * 2]
+    (tmp_path / "d.dxf").write_text("\n".join(["0", "SECTION", "2", "HEADER", "9", "$INSUNITS", "70", "4", "0", "ENDSEC", "0", "SECTION", "2", "ENTITIES", *body, "0", "EOF"]))
+    path, size = str(tmp_path / "d.dxf"), spark.conf.get("spark.sql.files.maxPartitionBytes")
+    whole = S.entities(S.read_group_codes(spark, path)).drop("file")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        codes = S.split_codes(spark, path, 23)
+        assert codes.select("part").distinct().count() > 20 and S.header_values(codes).first()["insunits"] == 4
+        parts = S.entities(codes).drop("file")
+        key = lambda r: r["entity"]
+        assert sorted(parts.collect(), key=key) == sorted(whole.collect(), key=key)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
