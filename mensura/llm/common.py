@@ -20,7 +20,7 @@ def tune(spark: SparkSession) -> None:
     All operators use the same bounds, so a plan that runs later than it was made has those that it was made for.
     """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
 def shared_folder(spark: SparkSession) -> str:
