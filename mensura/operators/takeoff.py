@@ -216,3 +216,15 @@ def histogram_view(items: DataFrame, size: float = 10.0, share: float = 0.1, rea
 
 def in_view(items: DataFrame, view: DataFrame) -> DataFrame:
     return items.join(F.broadcast(view)).where("y IS NULL OR y BETWEEN min_y AND max_y").drop("peak", "min_y", "max_y")
+
+
+def main_plan_items(items: DataFrame, y: tuple[float, float], x: tuple[float, float] | None = None) -> DataFrame:
+    """Items of the main plan: those whose position (a struct) lies within its bounds, and those without a position."""
+    inside = F.col("position.y").between(*y)
+    return items.where(F.col("position").isNull() | (inside if x is None else inside & F.col("position.x").between(*x)))
+
+
+def footprint_lookup(layers: DataFrame, found: DataFrame, least: float = 0.3) -> DataFrame:
+    """Layers with their score as a footprint, 0 if they aren't one, and whether it is a good one."""
+    out = layers.join(found.select("layer", "score"), "layer", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    return out.withColumn("good", F.col("score") >= least)

@@ -126,3 +126,17 @@ def test_job_phases(spark, tmp_path):
     end = max(m for _, _, m in rows)
     want = {j: plain_state([(m * minute, k) for i, k, m in rows if i == j], 25 * minute, end * minute) for j in {r[0] for r in rows}}
     assert got == want and want[50][5] == 1 and want[51][1] == "processing"
+
+
+def test_json_columns_are_checked(spark):
+    from mensura.operators import validators as C
+
+    item = '{"id": "a", "type": "area", "value_m": 2, "evidence": "e", "name_raw": "n", "unit_raw": "m2", "layer_raw": "l", "value_raw": -1.5, "layer_normalized": "l"}'
+    rows = [(1, f"[{item}]"), (2, "[]"), (3, None), (4, f"[{item}, {item.replace('2,', '-2,', 1)}, null]"), (5, "{}"), (6, "oops"), (7, f"[{item.replace('area', 'arc')}]")]
+    got = {r["id"]: r["c"] for r in spark.createDataFrame(rows, "id int, j string").select("id", C.checked(F.col("j"), C.SOURCE_ITEM).alias("c")).collect()}
+    assert got[1]["valid"] and got[1]["records"][0]["value_raw"] == -1.5 and got[2]["records"] == [] and got[3]["records"] == [] and got[3]["valid"]
+    assert got[4]["records"] is None and {f.split(".")[0] for f in got[4]["faults"]} == {"1", "2"} and "1.value_m" in got[4]["faults"]
+    assert got[5]["faults"] == got[6]["faults"] == ["json"] and got[7]["faults"] == ["0.type"]
+    prices = [(1, '[{"vendor": "v", "price": 3.5, "score": 1}]'), (2, '[{"vendor": "v", "price": 0, "score": 0.2, "url": "http://a.example"}]'), (3, '[{"vendor": "v", "price": 1, "score": 1.2, "url": "x"}]')]
+    got = {r["id"]: r["f"] for r in spark.createDataFrame(prices, "id int, j string").select("id", C.checked(F.col("j"), C.PRICE_CANDIDATE)["faults"].alias("f")).collect()}
+    assert got == {1: [], 2: ["0.price"], 3: ["0.score", "0.url"]}
