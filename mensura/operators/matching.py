@@ -1,8 +1,8 @@
 """Bill items against layers: candidates by measure kind, a score of shared words, ranks, status.
 
-The layer side is one row for each layer of a drawing set.  It is broadcast only if it has at most BROADCAST_LAYERS rows;
-beyond that, items and layers meet on shared expanded words, and each item meets the first eligible layers by name, which
-are all that can rank among its MOST best, or next to them, without a shared word.
+The layer side is one row for each layer of a drawing set.  Items and layers meet on shared expanded words, and each item meets the first
+eligible layers by name, which are all that can rank among its MOST best, or next to them, without a shared word.  What the score takes
+from an item is its description and unit, so each different pair of these is scored once and its best layers go to all items that have it.
 """
 
 from __future__ import annotations
@@ -14,9 +14,12 @@ from pyspark.sql import functions as F
 
 from mensura.functions import text as T
 from mensura.functions import units as U
+from mensura.operators.graph import checkpoint
 from mensura.operators.takeoff import quantity
 
-BROADCAST_LAYERS, MOST = 20_000, 5
+MOST = 5
+#: What the score takes from an item.
+TOLD = ["description", "unit", "norm", "kind", "item_trade", "a", "ea", "specific"]
 #: Names of layers that collect anything, and what a match with them costs.
 GENERIC_LAYERS = ["0", "dimen", "g-dim", "defpoints", "fa_color 12", "fa_color 13", "fa_color 14", "fa_color 15", "mb-elev 2", "mb-elev 4", "mb-elev 0", "i-ele-alumbrado"]
 GENERIC_PENALTY, TRADE_PENALTY, ABSURD_AREA, ABSURD_PENALTY = 0.7, 0.5, 5000.0, 0.3
@@ -53,14 +56,10 @@ def eligible(kind: Column) -> Column:
 
 
 def pairs(items: DataFrame, layers: DataFrame, boosted: DataFrame | None = None) -> DataFrame:
-    """Eligible (item, layer) pairs: all, or with many layers those among which are the MOST + 1 best of each item.
+    """Eligible (item, layer) pairs among which are the MOST + 1 best of each item.
 
     boosted (row_index, layer, text_boost, word_boost) adds what drawings say; layers then have block_count and any_blocks, too.
     """
-    n = layers.count()
-    if n <= BROADCAST_LAYERS:
-        out = items.join(F.broadcast(layers), eligible(F.col("kind")))
-        return out if boosted is None else out.join(boosted, ["row_index", "layer"], "left")
     words = items.select("row_index", F.explode("ea").alias("w")).join(layers.select("layer", F.explode("eb").alias("w")), "w").select("row_index", "layer")
     # A pair without a shared word scores 0, so the MOST + 1 first eligible layers by name rank before any other such pair.
     group = F.when(F.col("kind").isin(*MEASURED), F.col("kind")).otherwise("").alias("group")
@@ -91,6 +90,14 @@ def scored(pairs_: DataFrame) -> DataFrame:
     return out.withColumn("score", F.round(s, 9))
 
 
+def best_layers(items: DataFrame, layers: DataFrame, most: int = MOST) -> DataFrame:
+    """The best layers of each item, with rank, score, next_score and what layers tell; items with one description and unit are scored as one."""
+    key = F.xxhash64(F.col("description").isNull(), "description", F.col("unit").isNull(), "unit")
+    told = checkpoint(items.groupBy(key.alias("row_index")).agg(*[F.first(c).alias(c) for c in TOLD]))
+    best = top(scored(pairs(told, checkpoint(layers))), most).drop(*TOLD)
+    return items.withColumn("_key", key).join(best.withColumnRenamed("row_index", "_key"), "_key").drop("_key")
+
+
 def top(scored_: DataFrame, most: int = MOST) -> DataFrame:
     """The best layers of each item with their rank and the lead over the next one."""
     w = Window.partitionBy("row_index").orderBy(F.desc("score"), "layer")
@@ -116,7 +123,7 @@ def status(best: DataFrame) -> DataFrame:
 def match(bill: DataFrame, index: DataFrame) -> DataFrame:
     items = prepare_items(bill)
     open_ = items.where(~is_header(F.col("description"), F.col("unit")) & (F.col("kind") != "service"))
-    best = top(scored(pairs(open_, prepare_layers(index))), 1).select("row_index", "layer", "score", "next_score", "qty_used")
+    best = best_layers(open_, prepare_layers(index), 1).select("row_index", "layer", "score", "next_score", "qty_used")
     return status(items.select("row_index", "description", "unit", "kind").join(best, "row_index", "left"))
 
 

@@ -267,7 +267,7 @@ t AS (SELECT *, row_number() OVER w AS rank, lead(score) OVER w AS next_score FR
 @register("jn1_best_matches", f"WITH {SCORED} SELECT row_index, rank, layer, score, round(qty_used, 6) AS qty_used FROM t WHERE rank <= 5", "bill_items", "takeoff_rows")
 def _(bill, rows):
     items = M.prepare_items(bill).where(~M.is_header(F.col("description"), F.col("unit")) & (F.col("kind") != "service"))
-    best = M.top(M.scored(M.pairs(items, M.prepare_layers(K.layer_index(rows)))))
+    best = M.best_layers(items, M.prepare_layers(K.layer_index(rows)))
     return rounded(best.select("row_index", F.col("rank").cast("long").alias("rank"), "layer", "score", "qty_used"), "qty_used")
 
 

@@ -159,18 +159,27 @@ def test_narrowed_rank(spark):
     assert K.narrowed(same, 30, most=50)[1] == 30
 
 
-def test_matches_do_not_depend_on_the_number_of_layers(spark, monkeypatch):
+def every_pair(items, layers, boosted=None):
+    """What the matcher's pairs stand for: all eligible ones."""
+    from mensura.operators import matching as M
+
+    out = items.crossJoin(layers).where(M.eligible(F.col("kind")))
+    return out if boosted is None else out.join(boosted, ["row_index", "layer"], "left")
+
+
+def test_matches_are_those_of_all_pairs(spark, monkeypatch):
     from mensura.operators import matching as M
 
     bill = spark.createDataFrame([(1, "tabique divisorio recto", "m2"), (2, "zzz qqq vvv", "m2"), (3, "cable electrico", "m"), (4, "puerta madera", "un"), (5, "hormigon pilar", "m3"), (6, "nada comun", "m")], "row_index int, description string, unit string")
     rows = [(f"layer {i:02}", *x) for i, x in enumerate([(True, 5.0, False, 0.0, 0), (True, 0.0, True, 3.0, 2), (False, 0.0, True, 7.0, 1)] * 6)] + [("a-muro_tabique", True, 9.0, False, 0.0, 4), ("e-cable", False, 0.0, True, 8.0, 0), ("zz tabique", True, 1.0, True, 1.0, 1)]
     index = spark.createDataFrame(rows, "layer string, has_area boolean, total_area double, has_length boolean, total_length double, entity_count int")
     columns = ["row_index", "layer", "score", "rank", "next_score"]
-    best = lambda: sorted(map(tuple, M.top(M.scored(M.pairs(M.prepare_items(bill), M.prepare_layers(index)))).select(*columns).collect()))
+    bill = bill.unionByName(bill.withColumn("row_index", F.col("row_index") + 100))  # descriptions that repeat are scored once
+    best = lambda: sorted(map(tuple, M.best_layers(M.prepare_items(bill), M.prepare_layers(index)).select(*columns).collect()))
     states = lambda: sorted(map(tuple, M.match(bill, index).collect()), key=str)
-    want = best(), states()
-    monkeypatch.setattr(M, "BROADCAST_LAYERS", 3)
-    assert (best(), states()) == want
+    got = best(), states()
+    monkeypatch.setattr(M, "pairs", every_pair)
+    assert (best(), states()) == got and len(got[0]) == 60
 
 
 HATCHED = ["0", "SECTION", "2", "BLOCKS", "0", "BLOCK", "2", "A", "0", "INSERT", "2", "B", "8", "0", "41", "2", "0", "ENDBLK", "0", "BLOCK", "2", "B", "0", "INSERT", "2", "A", "8", "0", "0", "LINE", "8", "0", "10", "0", "20", "0", "11", "1", "21", "0", "0", "ENDBLK", "0", "ENDSEC"] + [
@@ -195,14 +204,14 @@ def test_unit_factors(spark):
     assert all(r["u"]["factor"] == r["factor"] and r["u"]["confidence"] == r["confidence"] for r in got)
 
 
-def test_matches_in_context_at_any_number_of_layers(spark, monkeypatch):
+def test_matches_in_context_are_those_of_all_pairs(spark, monkeypatch):
     from mensura import queries as core
     from mensura.operators import matching as M
 
     run = lambda: sorted(map(tuple, core.QUERIES["jn35_matches_in_context"](spark, "/root/testdata/sf0.001").collect()))
-    small = run()
-    monkeypatch.setattr(M, "BROADCAST_LAYERS", 0)
-    assert run() == small and small
+    got = run()
+    monkeypatch.setattr(M, "pairs", every_pair)
+    assert run() == got and got
 
 
 def test_a_drawing_read_in_blocks(spark, tmp_path):
