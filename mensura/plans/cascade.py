@@ -91,7 +91,8 @@ u AS (SELECT row_index, rn, 'Use "' || name_raw || '" from layer "' || layer ||
   UNION ALL SELECT row_index, 4, 'Enter quantity manually', 'medium' FROM o GROUP BY row_index HAVING max(score) < 0.3), v AS (SELECT *, row_number() OVER (PARTITION BY row_index ORDER BY rn) AS k FROM u)
 SELECT row_index, string_agg(label || ':' || confidence, ';' ORDER BY k) AS suggestions FROM v WHERE k <= 3 GROUP BY row_index""", "cad_items", "bill_items")
 def _(items, bill):
-    own = items.join(bill, F.col("l_partkey") == F.col("row_index")).select("row_index", F.expr(CALC).alias("calc"), F.col("type").alias("match_type"), "layer", "name_raw", "value_si", (F.col("l_suppkey") % 11 * 0.1).alias("score"))
+    # A decimal 0.1, as in the SQL: 3 and 6 times the double are above the thresholds 0.3 and 0.6.
+    own = items.join(bill, F.col("l_partkey") == F.col("row_index")).select("row_index", F.expr(CALC).alias("calc"), F.col("type").alias("match_type"), "layer", "name_raw", "value_si", F.expr("CAST(l_suppkey % 11 * 0.1 AS DOUBLE)").alias("score"))
     own = own.groupBy("row_index", "layer", "name_raw", "match_type", "value_si", "calc").agg(F.max("score").alias("score")).withColumns({"expected": F.expr(EXPECTED), "unit_raw": F.lit("m")})
     found = C.suggestions(own)
     return found.select("row_index", F.array_join(F.transform("suggestions", lambda s: F.concat(s["label"], F.lit(":"), s["confidence"])), ";").alias("suggestions"))

@@ -52,6 +52,18 @@ def test_query_without_sql(spark, name):
     assert core.QUERIES[name](spark, DATA).count() > 0
 
 
+def test_suggestions_at_their_thresholds(spark, tmp_path):
+    con = duckdb.connect()
+    for t in ("nation", "supplier", "part", "lineitem"):
+        only = " WHERE l_suppkey % 11 IN (3, 6)" if t == "lineitem" else ""
+        con.execute(f"COPY (SELECT * FROM '{DATA}/{t}.parquet'{only}) TO '{tmp_path}/{t}.parquet'")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    df = core.QUERIES["qty13_suggestions"](spark, str(tmp_path))
+    rel = con.sql(core.SQL["qty13_suggestions"])
+    want = rows(rel.columns, rel.fetchall())
+    assert want and rows(df.columns, [tuple(r) for r in df.collect()]) == want
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
