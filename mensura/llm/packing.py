@@ -17,6 +17,7 @@ import heapq
 import math
 import re
 import zlib
+from array import array
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -28,64 +29,81 @@ GROUP, SLACK = 512, 0.01
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+class Words(dict):
+    """Ids of words, found when they are asked for.  What is not used while half of the cache fills is forgotten."""
+
+    #: Words and characters of words in each half.
+    LIMIT, CHARS = 250_000, 4 << 20
+
+    def __init__(self, pieces: re.Pattern, encode):
+        self.pieces, self.encode, self.old, self.chars = pieces, encode, {}, 0
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            pieces = [] if word.isalpha() else self.pieces.findall(word)
+            ids = b"".join(map(self.__getitem__, pieces)) if len(pieces) > 1 else self.encode(word)
+        self[word] = ids
+        self.chars += len(word)
+        return ids
+
+    def forget(self) -> None:
+        if len(self) > self.LIMIT or self.chars > self.CHARS:
+            self.old, self.chars = dict(self), 0
+            self.clear()
+
+
 class Encoder:
-    """The public tokenizer with a cache of pre-tokens.
+    """The public tokenizer with a cache of words.
 
-    Its pre-tokens are encoded independently of each other, so a text made of ASCII and Latin-1 letters is cut by an
-    equivalent pattern and put together from cached ids.  Any other text goes to the tokenizer as a whole.
+    Its pre-tokens lie between white space and are encoded independently of each other.  So a text made of ASCII and Latin-1 letters
+    is split into words, these are cut by an equivalent pattern and encoded by the tokenizer's model, and the text is put together from
+    their ids.  Any other text goes to the tokenizer as a whole, and so does every text if its steps are others than these.
     """
 
     PLAIN = re.compile(r"[\t\n\r\x20-\x7eÀ-ÖØ-öø-ÿ]*")
     #: The pre-tokenizer's pattern, for the characters of PLAIN.
     PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
-    LIMIT = 400_000
-
+    #: The steps that PIECES stands for.
+    STEPS = {
+        "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ]},
+    }
     def __init__(self, path: str):
+        import json
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4")
-        self.cache: dict[str, bytes] = {}
+        self.dtype = np.dtype("u2" if self.tokenizer.get_vocab_size() <= 65536 else "u4")
+        steps = json.loads(self.tokenizer.to_str())
+        self.by_words = all(steps[k] == v for k, v in self.STEPS.items()) and all(t["content"].startswith("<|") for t in steps["added_tokens"])
+        self.model = self.tokenizer.model
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.bytes = {x: level.pre_tokenize_str(chr(x))[0][0] for x in range(0xC0, 0x100)}  # as the model writes letters that aren't ASCII
+        self.words = Words(self.PIECES, self.word)
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def pieces(self, new: list[str]) -> list[bytes]:
-        """Ids of pre-tokens, encoded together: a text of them, split by spaces, has the same ones."""
-        out: list[bytes] = []
-        size = self.dtype.itemsize
-        for k in range(0, len(new), 1000):
-            part = new[k : k + 1000]
-            enc = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            words = np.array(enc.word_ids)
-            if len(words) == 0 or words[-1] + 1 != len(part):
-                out.extend(self.whole(part))
-                continue
-            ids, at = np.array(enc.ids, self.dtype).tobytes(), 0
-            for end in (np.searchsorted(words, np.arange(len(part)), "right") * size).tolist():
-                out.append(ids[at:end])
-                at = end
-        return out
+    def word(self, word: str) -> bytes:
+        """Ids of a pre-token."""
+        return array(self.dtype.char, [t.id for t in self.model.tokenize(word if word.isascii() else word.translate(self.bytes))]).tobytes()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         out: list = [None] * len(texts)
-        odd = [i for i, t in enumerate(texts) if not self.PLAIN.fullmatch(t) or "<|" in t]
+        odd = [i for i, t in enumerate(texts) if not self.by_words or not self.PLAIN.fullmatch(t) or "<|" in t]
         for i, ids in zip(odd, self.whole([texts[i] for i in odd]), strict=True):
             out[i] = ids
         for i, t in enumerate(texts):
             if out[i] is None:
-                pieces = self.PIECES.findall(t.lower())
-                try:
-                    out[i] = b"".join(map(self.cache.__getitem__, pieces))
-                except KeyError:
-                    if len(self.cache) > self.LIMIT:
-                        self.cache.clear()
-                    new = list({p for p in pieces if p not in self.cache})
-                    self.cache.update(zip(new, self.pieces(new), strict=True))
-                    out[i] = b"".join(map(self.cache.__getitem__, pieces))
+                self.words.forget()
+                out[i] = b"".join(map(self.words.__getitem__, t.lower().split()))
         return out
 
 

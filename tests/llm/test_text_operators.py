@@ -386,6 +386,30 @@ def test_differencing_balances():
     assert packing.windows_of([], 10) == [] and packing.differencing([5], 3)[0] == [0]
 
 
+def test_encoder_keeps_the_words_in_use(monkeypatch):
+    import public_tokenizers
+
+    monkeypatch.setattr(packing.Words, "LIMIT", 50)
+    enc = packing.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    encode, asked = enc.words.encode, []
+    monkeypatch.setattr(enc.words, "encode", lambda w: (asked.append(w), encode(w))[1])
+    texts = ["the cat, " + " ".join(f"w{chr(97 + i)}{chr(97 + j)}" for j in range(20)) + "." for i in range(20)]
+    assert enc(texts) == enc.whole(texts)
+    assert sorted(asked) == sorted({p for t in texts for p in enc.PIECES.findall(t)})  # each once, though the cache fills several times
+
+
+def test_encoder_of_another_tokenizer(tmp_path):
+    import json
+
+    import public_tokenizers
+
+    steps = json.load(open(public_tokenizers.path("word_bpe_49k.json")))
+    steps["normalizer"]["normalizers"].pop()  # it doesn't lower letters, for instance
+    (tmp_path / "other.json").write_text(json.dumps(steps))
+    enc = packing.Encoder(str(tmp_path / "other.json"))
+    assert enc(["The Cat sat"]) == enc.whole(["The Cat sat"]) != packing.encoder("word_bpe_49k.json")(["The Cat sat"])
+
+
 def test_encoder_is_the_tokenizer():
     enc = packing.encoder("word_bpe_49k.json")
     odd = ["don't''s 'tis <|endoftext|> x", "İstanbul Ωμεγα", "a²½³ ª", "é\x85b", "x_y-z...'ll 12 345", "", "ÀÉß ÿ × ÷ x×y", "a\x0bb\x1cc", "e\u0301"]
