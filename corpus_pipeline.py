@@ -21,8 +21,10 @@ from mensura.llm.common import Tables, checkpoint
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose language can be told; what has no letter goes.  lang becomes the prediction where it is null."""
     model = language_id.train(docs.where(~language_id.is_held_out(F.col("doc_id"))))
-    found = language_id.identify(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text"), model).where(F.col("lang_pred") != language_id.UND)
-    return found.select(*[F.coalesce("row.lang", "lang_pred").alias(c) if c == "lang" else F.col(f"row.`{c}`") for c in docs.columns])
+    # The text goes to Python and back once, beside the rest of its row.
+    own = [c for c in docs.columns if c != "text" or dict(docs.dtypes)["text"] != "string"]
+    found = language_id.identify(docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), "text"), model).where(F.col("lang_pred") != language_id.UND)
+    return found.select(*[F.coalesce("row.lang", "lang_pred").alias(c) if c == "lang" else F.col(f"row.`{c}`") if c in own else F.col(c) for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,12 +15,13 @@ _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
 def tune(spark: SparkSession) -> None:
-    """Bounds the rows and bytes of one Arrow batch, so that a Python worker's memory doesn't depend on the input.
+    """Bounds the rows and bytes of one Arrow batch and the rows that a reader holds, so that memory doesn't depend on the input.
 
     All operators use the same bounds, so a plan that runs later than it was made has those that it was made for.
     """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", "512")
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -165,7 +166,7 @@ def split(texts: DataFrame, keys: DataFrame, bits: int = 23) -> tuple[DataFrame,
                 on = (shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1) == wanted
                 yield pa.RecordBatch.from_arrays(batch.columns[: len(names)], names).filter(pa.array(on))
 
-        return texts.withColumn("_bit", bit).mapInArrow(rows, texts.schema)
+        return texts.withColumn("_bit", bit).mapInArrow(lean(rows), texts.schema)
 
     return keep(1), keep(0)
 
@@ -193,12 +194,27 @@ def resident(key, make):
     return _RESIDENT[key]
 
 
-def give_back() -> None:
+def lean(rows):
+    """rows (batches to batches) without anything resident in its worker; what it leaves free goes back to the system."""
+
+    def run(batches):
+        resident(None, lambda: None)
+        yield from rows(batches)
+        give_back(False)
+
+    return run
+
+
+def give_back(collect: bool = True) -> None:
     """Returns what is free in this process to the system, where the C library can."""
     import ctypes
     import gc
 
-    gc.collect()
+    import pyarrow as pa
+
+    if collect:
+        gc.collect()
+    pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:
         trim(0)

@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mensura.llm.common import NO_ID, Tables, checkpoint, chunks, components, mix, possible, powers, rows_with_key, split, text_buffers, tune
+from mensura.llm.common import NO_ID, Tables, checkpoint, chunks, components, lean, mix, possible, powers, rows_with_key, split, text_buffers, tune
 
 SHINGLE, TINY, PAIRED, HIST, HOT, PIVOTS = 5, 12, 4, 128, 64, 512
 U = np.uint64
@@ -386,7 +386,7 @@ def verify(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     left = nodes.select(F.col("node").alias("a"), F.col("w").alias("na"), F.col("h").alias("ha"))
     right = nodes.select(F.col("node").alias("b"), F.col("w").alias("nb"), F.col("h").alias("hb"))
     sized = pairs.join(left, "a").join(right, "b").where("5 * least(na, nb) >= 4 * greatest(na, nb)")
-    found = checkpoint(sized.select("a", "b", "na", "nb", "ha", "hb").mapInArrow(_bounded, "a long, b long"))
+    found = checkpoint(sized.select("a", "b", "na", "nb", "ha", "hb").mapInArrow(lean(_bounded), "a long, b long"))
     low = found.select("a", "b").unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.min("b").alias("low"))
     pivots = found.select("a").distinct().join(low, "a").select("a", F.least("a", "low").alias("key"))
     many = pivots.groupBy("key").agg(F.ceil(F.count("*") / PIVOTS).alias("n"))
@@ -395,9 +395,9 @@ def verify(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     own = pivots.select(F.col("a").alias("node"), "key", "sub", F.array().cast("array<long>").alias("against"))
     to = others.unionByName(own).groupBy("node").agg(F.collect_list(F.struct("key", "sub", "against")).alias("groups"))
     to = checkpoint(to.join(nodes.select("node", "_id", "_th"), "node"))
-    sets = possible(texts, to).join(to, ["_id", "_th"]).select("text", "node", "groups").mapInArrow(_sets, "key long, sub int, node long, against array<long>, hashes binary")
+    sets = possible(texts, to).join(to, ["_id", "_th"]).select("text", "node", "groups").mapInArrow(lean(_sets), "key long, sub int, node long, against array<long>, hashes binary")
     sets = sets.repartition("key", "sub").sortWithinPartitions("key", "sub", F.size("against") > 0, "node")
-    return sets.mapInArrow(_compare, "a long, b long")
+    return sets.mapInArrow(lean(_compare), "a long, b long")
 
 
 def _group_pairs(rows: list, nearest: bool) -> set[tuple[int, int]]:
@@ -481,7 +481,7 @@ def classes(docs: DataFrame) -> DataFrame:
     volume = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(4, int(volume * 5e-8))
     with Tables(spark) as table:
-        rows = texts.mapInArrow(lambda it: _map(it, buckets), "bucket int, a binary, b binary, c binary, d binary, e binary")
+        rows = texts.mapInArrow(lean(lambda it: _map(it, buckets)), "bucket int, a binary, b binary, c binary, d binary, e binary")
         rows = table(rows.groupBy("bucket").applyInArrow(_reduce, ROWS), "rows")
         copies = rows.where("kind = 0").groupBy("x", "y", "z", "w").agg(F.count("*").alias("rows"), F.first("h").alias("h"))
         nodes = copies.where("w > 0").groupBy(F.col("z").alias("node")).agg(F.min(F.struct(F.col("x").alias("_id"), F.col("y").alias("_th"))).alias("_r"), F.first("w").alias("w"), F.first("h").alias("h"))
@@ -495,7 +495,7 @@ def classes(docs: DataFrame) -> DataFrame:
             placed = members.join(parts, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("component"))
             open_ = placed.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("sig")
             across = placed.join(open_, "sig").join(nodes.select("node", "w", "h"), "node").select("sig", "node", "component", "w", "h")
-            blobs = across.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(lambda it, nearest=nearest: _across(it, nearest, buckets), PAIRS)
+            blobs = across.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(lean(lambda it, nearest=nearest: _across(it, nearest, buckets)), PAIRS)
             across = blobs.groupBy("bucket").applyInArrow(_distinct, "a long, b long")
             across = table(across if tested is None else across.join(tested, ["a", "b"], "left_anti"), f"across{number}")
             more = table(verify(across, nodes, texts), f"more{number}")

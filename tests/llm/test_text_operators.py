@@ -410,6 +410,29 @@ def test_encoder_of_another_tokenizer(tmp_path):
     assert enc(["The Cat sat"]) == enc.whole(["The Cat sat"]) != packing.encoder("word_bpe_49k.json")(["The Cat sat"])
 
 
+def test_near_duplicates_keep_nothing_resident():
+    import pyarrow as pa
+
+    common.resident("model", lambda: bytearray(1 << 20))
+    assert list(common.lean(lambda it: it)(iter([pa.record_batch({"a": [1]})])))[0].num_rows == 1
+    assert common._RESIDENT == {None: None}
+
+
+def test_language_stage_sends_a_text_once(spark, monkeypatch):
+    import corpus_pipeline
+
+    seen = []
+    identify = language_id.identify
+    monkeypatch.setattr(language_id, "identify", lambda d, m: (seen.append(d.schema.simpleString().count("text:")), identify(d, m))[1])
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").withColumn("score", F.lit("kept"))
+    got = corpus_pipeline.identify_language(spark, d, "")
+    assert seen == [1] and got.dtypes == d.dtypes
+    want = {r["doc_id"]: r for r in d.collect()}
+    for r in got.collect():
+        w = want[r["doc_id"]]
+        assert r.asDict() | {"lang": None} == w.asDict() | {"lang": None} and w["lang"] in (None, r["lang"]) and r["lang"]
+
+
 def test_encoder_is_the_tokenizer():
     enc = packing.encoder("word_bpe_49k.json")
     odd = ["don't''s 'tis <|endoftext|> x", "İstanbul Ωμεγα", "a²½³ ª", "é\x85b", "x_y-z...'ll 12 345", "", "ÀÉß ÿ × ÷ x×y", "a\x0bb\x1cc", "e\u0301"]
