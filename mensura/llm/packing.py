@@ -33,7 +33,7 @@ class Words(dict):
     """Ids of words, found when they are asked for.  What is not used while half of the cache fills is forgotten."""
 
     #: Words and characters of words in each half.
-    LIMIT, CHARS = 250_000, 4 << 20
+    LIMIT, CHARS = 150_000, 4 << 20
 
     def __init__(self, pieces: re.Pattern, encode):
         self.pieces, self.encode, self.old, self.chars = pieces, encode, {}, 0
