@@ -238,3 +238,24 @@ def test_a_drawing_read_in_blocks(spark, tmp_path):
         assert sorted(parts.collect(), key=key) == sorted(whole.collect(), key=key)
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
+def test_entities_of_texts_are_those_of_their_pairs(spark):
+    """Odd drawings, too: corners after no polyline, nameless blocks, pairs without a code, spaces, a lone last line; and no sort or exchange."""
+    rng = random.Random(5)
+    pieces = [
+        ["0", "LINE", "8", "l", "10", " 1.5", "20", "2", "11", "3", "21", "4"], ["0", " LINE ", " 8 ", " l ", "010", "7", "20", "x", "2", "n1", "2", "n2"], ["0", "POLYLINE", "8", "b", "67", "1", "10", "0", "20", "0"],
+        ["0", "VERTEX", "10", "3", "20", "7", "42", "1"], ["0", "VERTEX", "10", "4", "30", "7", "20", "9"], ["0", "SEQEND", "8", "b"], ["0", "LWPOLYLINE", "70", "1", "10", "1", "20", "2", "abc", "zz", "10", "3", "q", "q", "20", "4", "10", "5"],
+        HATCHED[HATCHED.index("HATCH") - 1 : HATCHED.index("HATCH") + 49], ["0", "HATCH", "92", "x", "10", "9", "20", "9", "92", "2", "10", "0", "20", "0", "92", "zz", "10", "5", "20", "5", "98", "1", "92", "y", "10", "6", "20", "6"],
+        ["0", "SECTION", "2", "BLOCKS"], ["0", "SECTION", "2", "ENTITIES"], ["0", "SECTION"], ["0", "SECTION", "2", "A", "2", "BLOCKS"], ["0", "ENDSEC"], ["0", "BLOCK", "2", "X", "70", "0"], ["0", "BLOCK", "70", "0"], ["0", "BLOCK", "2", "", "8", "1"],
+        ["0", "BLOCK", "2", "Y", "2", "Z"], ["0", "ENDBLK"], ["0", "INSERT", "2", "X", "10", "5", "20", "6"], ["x", "y"], ["0", "0"], ["70", "0"], ["0", ""], ["9", "$INSUNITS", "70", "4"], ["9", "$EXTMAX", "10", "7", "20", "8"], ["9", "$INSUNITS", "70", "6", "70", "5"],
+    ]
+    text = lambda: rng.choice(["\n", "\r\n", "\r"]).join([*rng.choice([[], [], ["999", "note"], ["1"]]), *[x for _ in range(rng.randrange(14)) for x in rng.choice(pieces)], *rng.choice([[], [], ["5"], [""]])])
+    drawings = spark.createDataFrame([(f"f{i}", text()) for i in range(600)] + [("e", ""), ("n", None), ("z", "0"), ("b", "﻿0\nLINE\n8\n\0a")], "file string, value string")
+    plain = lambda e: sorted(map(tuple, e.withColumn("points", F.transform("points", lambda p: F.struct(p["ring"], p["x"], p["y"]))).collect()), key=lambda r: r[:2])
+    codes = S.group_codes(drawings)
+    own = S.drawing_entities(drawings)
+    assert plain(own) == plain(S.entities(codes).select(own.columns)) and own.dtypes[1:-1] == S.entities(codes).dtypes[1:-1]
+    assert sorted(map(tuple, S.drawing_header(drawings).collect()), key=str) == sorted(map(tuple, S.header_values(codes).collect()), key=str)
+    plan = own._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan
