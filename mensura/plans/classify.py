@@ -250,10 +250,9 @@ def _(p):
   + CASE WHEN area / 31 BETWEEN 0.8 AND 1.2 THEN 0.3 WHEN area / 31 BETWEEN 0.5 AND 2.0 THEN 0.15 WHEN area / 31 BETWEEN 0.2 AND 5 THEN 0.05 ELSE 0 END + 0.2 + CASE WHEN area BETWEEN 1 AND 200 THEN 0.1 WHEN area BETWEEN 0.5 AND 500 THEN 0.05 ELSE 0 END AS score FROM d WHERE dist <= 5)
 SELECT id, arg_min(zone, (-round(score, 6), zone)) AS zone, round(max(score), 6)::DOUBLE AS score FROM s WHERE score >= 0.3 GROUP BY id""", "points")
 def _(p):
-    near = P.near_polygons(p.where(f"NOT ({ZONES})").select("id", "x", "y"), _squares(p), 5.0)
-    score = C.region_score(F.col("dist") == 0, F.col("dist"), P.shoelace(F.col("vertices")), F.lit(31.0), F.lit(1.0))
-    s = near.select("id", "zone", score.alias("score")).where("score >= 0.3")
-    return s.groupBy("id").agg(F.min_by("zone", F.struct((-F.round("score", 6)).alias("s"), "zone")).alias("zone"), F.round(F.max("score"), 6).alias("score"))
+    area = P.shoelace(F.col("vertices"))
+    best = P.best_polygon(p.where(f"NOT ({ZONES})").select("id", "x", "y"), _squares(p), "id", 5.0, lambda inside, dist: C.region_score(inside, dist, area, F.lit(31.0), F.lit(1.0)))
+    return best.where("score >= 0.3").select("id", "zone", F.round("score", 6).alias("score"))
 
 
 @register("jn32_region_layers", f"WITH {SQUARES}, n AS (SELECT zone, layer, count(*) AS n FROM z JOIN segments ON (s0 + s1) / 2 BETWEEN x0 AND x1 AND (t0 + t1) / 2 BETWEEN y0 AND y1 GROUP BY ALL) SELECT zone, arg_min(layer, (-n, layer)) AS layer, max(n) AS n FROM n GROUP BY zone".replace("JOIN segments ON", "JOIN (SELECT x1 / 4 AS s0, x2 / 4 AS s1, y1 / 4 AS t0, y2 / 4 AS t1, layer FROM segments) s ON"), "points", "segments")
