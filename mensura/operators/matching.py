@@ -90,11 +90,12 @@ def scored(pairs_: DataFrame) -> DataFrame:
     return out.withColumn("score", F.round(s, 9))
 
 
-def best_layers(items: DataFrame, layers: DataFrame, most: int = MOST) -> DataFrame:
+def best_layers(items: DataFrame, layers: DataFrame, most: int = MOST, boosts=None) -> DataFrame:
     """The best layers of each item, with rank, score, next_score and what layers tell; items with one description and unit are scored as one."""
     key = F.xxhash64(F.col("description").isNull(), "description", F.col("unit").isNull(), "unit")
     told = checkpoint(items.groupBy(key.alias("row_index")).agg(*[F.first(c).alias(c) for c in TOLD]))
-    best = top(scored(pairs(told, checkpoint(layers))), most).drop(*TOLD)
+    boosted = () if boosts is None else (checkpoint(boosts(told)),)
+    best = top(scored(pairs(told, checkpoint(layers), *boosted)), most).drop(*TOLD)
     return items.withColumn("_key", key).join(best.withColumnRenamed("row_index", "_key"), "_key").drop("_key")
 
 
@@ -127,9 +128,13 @@ def match(bill: DataFrame, index: DataFrame) -> DataFrame:
     return status(items.select("row_index", "description", "unit", "kind").join(best, "row_index", "left"))
 
 
-def matches_in_context(bill: DataFrame, index: DataFrame, boosted: DataFrame, blocks: DataFrame) -> DataFrame:
-    """The best layers of each item by words, texts near layers and blocks (layer, n) on them."""
+def matches_in_context(bill: DataFrame, index: DataFrame, boosts, blocks: DataFrame) -> DataFrame:
+    """The best layers of each item by words, texts near layers and blocks (layer, n) on them.
+
+    boosts(items) gives (row_index, layer, text_boost, word_boost) of items (row_index, norm, a); they depend on the description alone, so items with
+    one description and unit are scored as one here, too.
+    """
     items = prepare_items(bill).where(~is_header(F.col("description"), F.col("unit")) & (F.col("kind") != "service"))
-    n = blocks.groupBy("layer").agg(F.sum("n").alias("block_count"))
+    n = checkpoint(blocks.groupBy("layer").agg(F.sum("n").alias("block_count")))
     layers = prepare_layers(index).join(n, "layer", "left").join(F.broadcast(n.agg(F.sum("block_count").alias("any_blocks"))))  # one row
-    return top(scored(pairs(items, layers, boosted)))
+    return best_layers(items, layers, boosts=boosts)

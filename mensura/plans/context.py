@@ -9,6 +9,7 @@ from mensura.operators import classify as C
 from mensura.operators import context as X
 from mensura.operators import matching as M
 from mensura.operators import takeoff as K
+from mensura.operators.graph import checkpoint
 from mensura.plans.domain import NORM, SCORED, TOKENS
 from mensura.plans.registry import register, rounded
 
@@ -62,7 +63,8 @@ def _(bill, rows, items):
 
 @register("jn35_matches_in_context", f"WITH {BELONGING}, {BOOSTS}, {BLOCKS}, {IN_CONTEXT} SELECT row_index, rank, layer, score, round(qty_used, 6) AS qty_used FROM t WHERE rank <= 5", "bill_items", "takeoff_rows", "cad_items")
 def _(bill, rows, items):
-    best = M.matches_in_context(bill, K.layer_index(rows), _boosts(bill, rows, items), _blocks(items))
+    texts = checkpoint(X.layer_texts(_texts(items), rows))
+    best = M.matches_in_context(bill, K.layer_index(rows), lambda told: X.boosts(told, texts, rows), _blocks(items))
     return rounded(best.select("row_index", F.col("rank").cast("long").alias("rank"), "layer", "score", "qty_used"), "qty_used")
 
 
