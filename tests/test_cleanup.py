@@ -87,3 +87,26 @@ def test_layer_matching_on_the_tables(spark):
     out = L.match(bill, K.layer_profiles(items))
     assert out.groupBy("row_index").count().where("count > 1").count() == 0 and out.where("score > 0.4 AND qty IS NULL AND method <> 'none'").count() == 0
     assert out.agg(F.count_distinct("method")).first()[0] >= 3
+
+
+def test_blocks_of_other_names_do_not_meet(spark):
+    """A crowded place of many names makes no more pairs than each name alone."""
+    from pyspark.sql import functions as F
+
+    from mensura.operators import cleanup as C
+    from mensura.operators.spatial import grid_distance_join
+
+    b = spark.range(400).select("id", F.concat(F.lit("n"), F.col("id") % 200).alias("name_raw"), F.lit("l").alias("layer"), (F.col("id") / 1e4).alias("x"), F.lit(0.0).alias("y"))
+    right = b.select(F.col("id").alias("other"), "name_raw", "layer", F.col("x").alias("rx"), F.col("y").alias("ry"))
+    assert grid_distance_join(b, right, 0.5, among=("name_raw", "layer")).count() == 800
+    assert sorted(r["id"] for r in C.deduplicate_blocks(b, 0.5, ["id"]).collect()) == list(range(200))
+
+
+def test_equal_segments_count_once_in_a_chain(spark, monkeypatch):
+    from mensura.operators import cleanup as C
+
+    rows = [(i + 10 * k, "a", float(i), 0.0, i + 1.0, 0.0) for i in range(3) for k in range(50)] + [(900, "a", 9.0, 9.0, 9.0, 12.0), (700, "a", 9.0, 9.0, 9.0, 12.0)]
+    seen, found = [], C.components
+    monkeypatch.setattr(C, "components", lambda links, *k: (seen.append(links.count()), found(links, *k))[1])
+    got = sorted(map(tuple, C.merge_collinear(spark.createDataFrame(rows, "id long, layer string, x1 double, y1 double, x2 double, y2 double")).collect()))
+    assert got == [(0, "a", 0.0, 0.0, 3.0, 0.0), (700, "a", 9.0, 9.0, 9.0, 12.0)] and seen[0] < 20
