@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from mensura.functions.text import contains_any, strip_accents
+from mensura.functions.text import contains_any, let, strip_accents
 from mensura.functions.units import TYPES, UNITS
 
 #: Words of the subtypes of areas, lengths and blocks.
@@ -79,25 +79,32 @@ def keyword_level(text: Column, words: Column, keyword: str) -> Column:
 
 
 def subtype(description: Column, kind: Column) -> Column:
-    """struct<subtype, confidence, method, alternatives>: most exact match first, then most keywords, then the order of the table."""
-    text = folded(description)
-    words = F.split(text, r"\s+")
+    """struct<subtype, confidence, method, alternatives>: most exact match first, then most keywords, then the order of the table.
+
+    Text, words and levels are computed once for a row and only for the table of its kind.
+    """
     out = F.struct(F.lit("generic_area").alias("subtype"), F.lit(0.3).alias("confidence"), F.lit("default").alias("method"), F.array().cast("array<string>").alias("alternatives"))
-    for name, table in SUBTYPES.items():
-        rows = []
-        for order, (sub, keys) in enumerate(table.items()):
-            levels = [keyword_level(text, words, k) for k in keys]
-            count = reduce(lambda a, b: a + b, [(x > 0).cast("int") for x in levels])
-            rows.append(F.struct((-F.greatest(*levels)).alias("level"), (-count).alias("n"), F.lit(order).alias("order"), F.lit(sub).alias("subtype")))
-        ranked = F.array_sort(F.filter(F.array(*rows), lambda r: r["level"] < 0))
-        first = F.get(ranked, 0)
-        found = F.struct(
+
+    def row(order, sub, levels):
+        return let(F.array(*levels), lambda v: F.struct((-F.array_max(v)).alias("level"), (-F.size(F.filter(v, lambda x: x > 0))).alias("n"), F.lit(order).alias("order"), F.lit(sub).alias("subtype")))
+
+    def found(name, ranked):
+        first = F.get(ranked, F.lit(0))
+        return F.struct(
             F.coalesce(first["subtype"], F.lit(GENERIC[name])).alias("subtype"),
             F.when(first["level"] == -3, 0.95).when(first["level"] == -2, 0.85).when(first["level"] == -1, 0.75).otherwise(0.3).alias("confidence"),
             F.when(first["level"] == -3, "keyword_exact").when(first["level"] == -2, "keyword_partial").when(first["level"] == -1, "keyword_fuzzy").otherwise("default").alias("method"),
             F.transform(F.slice(ranked, 2, 2), lambda r: r["subtype"]).alias("alternatives"),
         )
-        out = F.when(kind == name, found).otherwise(out)
+
+    def of(name, table):
+        rows = lambda t: F.array(*[row(i, sub, [keyword_level(t["text"], t["words"], k) for k in keys]) for i, (sub, keys) in enumerate(table.items())])
+        both = let(folded(description), lambda c: F.struct(c.alias("text"), F.split(c, r"\s+").alias("words")))
+        ranked = let(both, lambda t: F.array_sort(F.filter(rows(t), lambda r: r["level"] < 0)))
+        return let(ranked, lambda v: found(name, v))
+
+    for name, table in SUBTYPES.items():
+        out = F.when(kind == name, of(name, table)).otherwise(out)
     return out
 
 
@@ -110,11 +117,11 @@ def sheet_discipline(name: Column) -> Column:
 
 def item_discipline(description: Column) -> Column:
     """struct<discipline, confidence, keyword> of the longest keyword, the first of equal ones; null without one."""
-    text = strip_accents(F.lower(description))
     table = [(-len(k), i, d, k) for i, (d, k) in enumerate((d, k) for d, ks in DISCIPLINES.items() for k in ks)]
-    hits = F.array_compact(F.array(*[F.when(text.contains(k), F.struct(F.lit(n).alias("n"), F.lit(i).alias("i"), F.lit(d).alias("d"), F.lit(k).alias("k"))) for n, i, d, k in table]))
-    best = F.array_min(hits)
-    return F.when(best.isNotNull(), F.struct(best["d"].alias("discipline"), F.when(best["n"] < -8, "high").otherwise("medium").alias("confidence"), best["k"].alias("keyword")))
+    # In this order the first keyword is the best one.
+    best = sorted(table)
+    hits = lambda text: F.coalesce(*[F.when(text.contains(k), F.struct(F.lit(d).alias("discipline"), F.lit("high" if n < -8 else "medium").alias("confidence"), F.lit(k).alias("keyword"))) for n, _, d, k in best])
+    return let(strip_accents(F.lower(description)), hits)
 
 
 def layer_discipline(layer: Column) -> Column:
@@ -126,13 +133,18 @@ def layer_discipline(layer: Column) -> Column:
 
 def infer_discipline(sheet: Column, description: Column, layer: Column) -> Column:
     """struct<discipline, confidence, source>: by sheet, else item, else layer, else unknown."""
-    by_sheet, by_item, by_layer = sheet_discipline(sheet), item_discipline(description), F.nullif(layer_discipline(layer), F.lit("UNKNOWN"))
-    item = by_item["discipline"]
-    return F.struct(
-        F.coalesce(by_sheet, item, by_layer, F.lit("UNKNOWN")).alias("discipline"),
-        F.when(by_sheet.isNotNull(), "high").when(item.isNotNull(), by_item["confidence"]).when(by_layer.isNotNull(), "high").otherwise("low").alias("confidence"),
-        F.when(by_sheet.isNotNull(), "sheet_name").when(item.isNotNull(), "item_keywords").when(by_layer.isNotNull(), "layer_patterns").otherwise("fallback").alias("source"),
-    )
+    told = F.struct(sheet_discipline(sheet).alias("sheet"), item_discipline(description).alias("item"), F.nullif(layer_discipline(layer), F.lit("UNKNOWN")).alias("layer"))
+
+    def of(t):
+        by_sheet, by_item, by_layer = t["sheet"], t["item"], t["layer"]
+        item = by_item["discipline"]
+        return F.struct(
+            F.coalesce(by_sheet, item, by_layer, F.lit("UNKNOWN")).alias("discipline"),
+            F.when(by_sheet.isNotNull(), "high").when(item.isNotNull(), by_item["confidence"]).when(by_layer.isNotNull(), "high").otherwise("low").alias("confidence"),
+            F.when(by_sheet.isNotNull(), "sheet_name").when(item.isNotNull(), "item_keywords").when(by_layer.isNotNull(), "layer_patterns").otherwise("fallback").alias("source"),
+        )
+
+    return let(told, of)
 
 
 #: Units that stand with a full stop, and powers as signs.

@@ -259,3 +259,14 @@ def test_entities_of_texts_are_those_of_their_pairs(spark):
     assert sorted(map(tuple, S.drawing_header(drawings).collect()), key=str) == sorted(map(tuple, S.header_values(codes).collect()), key=str)
     plan = own._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Sort" not in plan
+
+
+def test_keywords_are_looked_up_in_a_text_that_is_folded_once(spark):
+    """Each keyword used to fold the text again, in every place where its level was used."""
+    from mensura.operators import classify as C
+
+    rows = [("Tabique de yeso carton", "AREA", "wall_area", 0.95), ("Cañeria cobre", "LENGTH", "pipe_length", 0.95), ("zzz", "BLOCK", C.GENERIC["BLOCK"], 0.3), ("muro", "GLOBAL", "generic_area", 0.3)]
+    df = spark.createDataFrame(rows, "d string, kind string, subtype string, confidence double").withColumn("s", C.subtype(F.col("d"), F.col("kind")))
+    assert all((r["s"]["subtype"], r["s"]["confidence"]) == (r["subtype"], r["confidence"]) for r in df.collect())
+    many = spark.range(4).select(C.subtype(F.concat("id", F.lit("a")), F.lit("AREA")), C.infer_discipline(F.lit(None).cast("string"), F.concat("id", F.lit("b")), F.lit("a-")))
+    assert many._jdf.queryExecution().optimizedPlan().toString().count("translate(") <= 8
