@@ -270,3 +270,12 @@ def test_keywords_are_looked_up_in_a_text_that_is_folded_once(spark):
     assert all((r["s"]["subtype"], r["s"]["confidence"]) == (r["subtype"], r["confidence"]) for r in df.collect())
     many = spark.range(4).select(C.subtype(F.concat("id", F.lit("a")), F.lit("AREA")), C.infer_discipline(F.lit(None).cast("string"), F.concat("id", F.lit("b")), F.lit("a-")))
     assert many._jdf.queryExecution().optimizedPlan().toString().count("translate(") <= 8
+
+
+def test_segment_counts_are_those_of_the_segments(spark):
+    body = ["0", "SECTION", "2", "ENTITIES", "0", "LINE", "8", "a", "10", "0", "20", "0", "11", "3", "21", "4", "0", "CIRCLE", "8", "a", "10", "1", "20", "1", "40", "0.5", "0", "ARC", "8", "b", "10", "1", "20", "1", "40", "7", "50", "0", "51", "90"]
+    for flag, corners in (("1", 4), ("0", 4), ("1", 2), ("1", 1), ("0", 0)):
+        body += ["0", "LWPOLYLINE", "8", f"p{flag}{corners}", "70", flag, *[x for i in range(corners) for x in ("10", str(i), "20", str(i * i))]]
+    e = S.drawing_entities(spark.createDataFrame([("d", "\n".join([*body, "0", "CIRCLE", "8", "none", "0", "ARC", "8", "none", "40", "1", "0", "EOF"]))], "file string, value string"))
+    want = D.line_segments(e).groupBy("file", "layer", "type").agg(F.count("*").alias("n"))
+    assert sorted(map(tuple, D.segment_counts(e).collect())) == sorted(map(tuple, want.collect()))
